@@ -37,6 +37,14 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def file_folder(spark: SparkSession, tag: str) -> str:
+    """A fresh folder for files that workers write; it exists even if none of them writes any."""
+    path = new_folder(spark, tag)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
+    return path
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
@@ -89,3 +97,17 @@ def put_file(folder: str, name: str, data: bytes) -> None:
 def binary_files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     """path, content of the files in a folder; none if there is none."""
     return spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder).select("path", "content")
+
+
+def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds no: the place of each row in the order, from 0. Rows are sorted in ranges; a count for each range comes to
+    the driver."""
+    key = F.monotonically_increasing_id()
+    rows = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("key_", key), "sorted")
+    rows = rows.withColumn("range_", F.shiftright("key_", 33))
+    first, total = [], 0
+    for r in sorted(rows.groupBy("range_").agg(F.count(F.lit(1)).alias("n")).collect()):
+        first.append((r.range_, total))
+        total += r.n
+    at = df.sparkSession.createDataFrame(first, "range_ bigint, before_ bigint")
+    return rows.join(F.broadcast(at), "range_").withColumn("no", F.col("before_") + F.col("key_").bitwiseAND((1 << 33) - 1)).drop("range_", "before_", "key_")

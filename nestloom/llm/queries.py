@@ -7,31 +7,61 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_dedup, token_count, token_files, vocab
+from . import ann, bpe, html_text, langid, media, mixing, near_dedup, token_count, token_files, vocab, warc
 from .common import table
 
 BYTE_BPE, WORD_BPE, PIECE_BPE = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", "piece_bpe_32k.model"
 END_ID, TOKEN_LIMIT = 2, 4096
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_documents(table(spark, sf_dir, "documents"))
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator where all kinds of evidence exist."""
+    labelled = table(spark, sf_dir, "documents").select(F.col("lang").alias("label"), "text")
+    return langid.identify_pages(table(spark, sf_dir, "pages"), labelled)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocab.path(BYTE_BPE))
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(media.store_texts(table(spark, sf_dir, "documents")))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), vocab.path(WORD_BPE), END_ID)
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), vocab.path(PIECE_BPE), TOKEN_LIMIT)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op4_token_files, op7_minhash_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, language_id_pages, op2_byte_bpe, op3_media_columns, op4_token_files, op5_html_text, op6_source_mixing, op7_minhash_dedup, op8_nearest_neighbours, op9_warc, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rans, vocab
-from .common import binary_files, new_folder, put_file, text_or_empty, written
+from .common import binary_files, file_folder, put_file, text_or_empty, written
 from .word_cache import WordCache
 
 #: Ids for each range of documents that one task writes.
@@ -89,7 +89,7 @@ def write_files(docs: DataFrame, file: str, end_id: int, id_col: str = "doc_id",
         raise ValueError("ids of 16 bits are too few for this vocabulary")
     rows = written(encoded(docs, file, end_id, id_col, text_col), "ids")
     counts = _id_counts(rows, size)
-    folder, shared = new_folder(spark, "rans"), spark.sparkContext.broadcast(counts)
+    folder, shared = file_folder(spark, "rans"), spark.sparkContext.broadcast(counts)
     ranges = max(1, -(-sum(counts.values()) // RANGE_IDS))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
