@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-TREES, BITS, CANDIDATES, SEGMENT, SALT = 24, 64, 12_000, 1 << 15, 16
+TREES, BITS, CANDIDATES, SEGMENT, SALT = 24, 64, 30_000, 1 << 15, 16
 
 
 def _directions(size: int) -> np.ndarray:
