@@ -36,6 +36,8 @@ from .shingles import constants, mix, shingle_sets
 BINS, ROWS, BANDS = 128, 4, 32
 #: Members of a block of comparisons, and members that are confirmed against a star's centre in one task's group.
 BLOCK, STAR = 512, 256
+#: Hashes for which incidences are multiplied at once.
+COLUMNS = 2048
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
 _SHIFT = _U(64 - 7)
@@ -96,6 +98,24 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets on the left with those on the right: products of their incidence with the
+    hashes that more than one set has, COLUMNS of them at a time."""
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, col, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = n[col] > 1
+    rows, col = rows[shared], (np.cumsum(n > 1) - 1)[col[shared]]
+    order = np.argsort(col, kind="stable")
+    rows, col = rows[order], col[order]
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    for first in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+        lo, hi = np.searchsorted(col, [first, first + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        part[rows[lo:hi], col[lo:hi] - first] = 1
+        out += (part[left] @ part[right].T).astype(np.int64)
+    return out
+
+
 def _confirmed(edges: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Of the edges (a, b) those that hold on the full sets. An edge's group has one centre a and at most about STAR bs."""
     fan = edges.groupBy("a").agg(F.count(F.lit(1)).alias("fan")).select("a", F.ceil(F.col("fan") / STAR).cast("bigint").alias("parts"))
@@ -158,14 +178,16 @@ def _rest_links(kept: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
                 c = root[c]
             return c
 
-        out = []
-        seeker = pdf["seeker"].tolist()
-        others = [i for i, s in enumerate(seeker) if not s]
-        for i in (i for i, s in enumerate(seeker) if s):
-            for j in others:
-                if find(comp[i]) != find(comp[j]) and _similar(sets[i], sets[j], percent):
-                    out.append((ids[i], ids[j]))
-                    root[find(comp[i])] = find(comp[j])
+        out, seeker = [], pdf["seeker"].to_numpy()
+        left, right = np.flatnonzero(seeker), np.flatnonzero(~seeker)
+        size = np.array([len(x) for x in sets])
+        both = _common(sets, left, right)
+        linked = (100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)) & (pdf["comp"].to_numpy()[left][:, None] != pdf["comp"].to_numpy()[right][None, :])
+        for x, y in np.argwhere(linked).tolist():
+            i, j = left[x], right[y]
+            if find(comp[i]) != find(comp[j]):
+                out.append((ids[i], ids[j]))
+                root[find(comp[i])] = find(comp[j])
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return kept.join(texts, "doc_id").groupBy("bucket", "r", "c").applyInPandas(run, "a bigint, b bigint")
