@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
-from .common import text_or_empty
+from .common import give_back, text_or_empty
 from .word_cache import LONGEST, WordCache
 
 #: A quarter of the token pairs that a worker remembers; they only save time.
@@ -267,5 +267,6 @@ def encode_decode(docs: DataFrame, file: str, id_col: str = "doc_id", text_col:
                 cols = [part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
                 names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.binary())] * keep_ids, names=names + ["ids"] * keep_ids)
+        give_back()
 
     return docs.select(F.col(id_col), text_or_empty(text_col).alias("text_")).mapInArrow(run, f"{id_col} {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{extra}")

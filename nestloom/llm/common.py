@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -76,6 +77,23 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: Bytes of texts after whose handling a worker gives freed memory back.
+GIVE_BACK = 16 << 20
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+_handled = 0
+
+
+def give_back(handled: int = GIVE_BACK) -> None:
+    """Called by a worker that has handled so many bytes: now and then its freed memory goes back to the system. Workers
+    are used again by later stages, and what they kept would be missing there."""
+    global _handled
+    _handled += handled
+    if _handled >= GIVE_BACK:
+        _handled = 0
+        if _trim is not None:
+            _trim(0)
+
+
 def put_file(folder: str, name: str, data: bytes) -> None:
     """Writes a file of the shared folder from a worker: under a name of its own, then moved, so that a repeated or a
     lost task leaves whole files only. Works on any file system that pyarrow opens by its address."""

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, text_or_empty, written
+from .common import give_back, small_side, text_or_empty, written
 from .components import components
 from .shingles import constants, mix, shingle_sets
 
@@ -86,6 +86,8 @@ def _described(docs: DataFrame, k: int) -> DataFrame:
                     ],
                     names=["doc_id", "text_hash", "n", "digest", "bands", "low"],
                 )
+                give_back(part.nbytes)
+        give_back()
 
     return docs.mapInArrow(run, "doc_id bigint, text_hash bigint, n bigint, digest binary, bands array<bigint>, low binary")
 
@@ -130,6 +132,7 @@ def _confirmed(edges: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
         own = ids.index(centre)
         sets = shingle_sets(pdf["text_"].tolist(), k)
         good = [i for i, s in zip(ids, sets, strict=True) if i != centre and _similar(sets[own], s, percent)]
+        give_back(sum(s.nbytes for s in sets))
         return pd.DataFrame({"a": [centre] * len(good), "b": good}, dtype="int64")
 
     return members.unionByName(centres).groupBy("a", "part").applyInPandas(run, "a bigint, b bigint")
@@ -160,6 +163,7 @@ def _promising(blocks: DataFrame, percent: int) -> DataFrame:
             hit = others[((low[others] == low[i]).sum(axis=1) >= least) & (comp[others] != comp[i])]
             keep[hit] = True
             keep[i] = len(hit) > 0
+        give_back(low.nbytes)
         return pdf.loc[keep, ["bucket", "r", "c", "doc_id", "comp", "seeker"]]
 
     return blocks.groupBy("bucket", "r", "c").applyInPandas(run, "bucket bigint, r int, c int, doc_id bigint, comp bigint, seeker boolean")
@@ -188,6 +192,7 @@ def _rest_links(kept: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
             if find(comp[i]) != find(comp[j]):
                 out.append((ids[i], ids[j]))
                 root[find(comp[i])] = find(comp[j])
+        give_back(8 * int(size.sum()))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return kept.join(texts, "doc_id").groupBy("bucket", "r", "c").applyInPandas(run, "a bigint, b bigint")
