@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
-from .common import give_back, text_or_empty
+from .common import give_back, text_batches, text_or_empty
 from .word_cache import LONGEST, WordCache
 
-#: A quarter of the token pairs that a worker remembers; they only save time.
-CACHE = 400_000
+#: Pre-tokens, a quarter of the token pairs and words of a generation that a worker remembers; they only save time.
+CACHE = 100_000
 
 
 class Prefixes:
@@ -206,8 +206,8 @@ class TextCodec:
         self.bpe = PrefixBPE(vocab.byte_ranks(file))
         self.pattern = regex.compile(vocab.PATTERN)
         self.pieces = _Pieces(self.bpe)
-        self.first = WordCache(lambda words: [self._packed(w) for w in words])
-        self.after = WordCache(lambda words: [self._packed(" " + w) for w in words])
+        self.first = WordCache(lambda words: [self._packed(w) for w in words], CACHE)
+        self.after = WordCache(lambda words: [self._packed(" " + w) for w in words], CACHE)
         tokens = [self.bpe.token.get(i, b"") for i in range(max(self.bpe.token, default=0) + 1)]
         self.flat = np.frombuffer(b"".join(tokens), np.uint8)
         self.size = np.array([len(b) for b in tokens])
@@ -250,6 +250,7 @@ def codec(file: str) -> TextCodec:
 
 def encode_decode(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """For each row: the id, n_tokens, ids_sha256, decoded_sha256; with keep_ids also ids, packed as 32-bit integers."""
+    text_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     extra = ", ids binary" if keep_ids else ""
 

@@ -77,6 +77,16 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: Rows of an Arrow batch of whole texts; Spark's own number would hold tens of MB in the executor and again in its worker.
+TEXT_BATCH, _OWN_BATCH, _BATCH_KEY = "1000", "10000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to TEXT_BATCH rows unless they were set to another number than Spark's own."""
+    if spark.conf.get(_BATCH_KEY) == _OWN_BATCH:
+        spark.conf.set(_BATCH_KEY, TEXT_BATCH)
+
+
 #: Bytes of texts after whose handling a worker gives freed memory back.
 GIVE_BACK = 16 << 20
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, small_side, text_or_empty, written
+from .common import give_back, small_side, text_batches, text_or_empty, written
 from .components import components
 from .shingles import constants, mix, shingle_sets
 
@@ -200,6 +200,7 @@ def _rest_links(kept: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: doc_id, n_shingles, component_id (the least id that links lead to), kept (whether it is that id)."""
+    text_batches(docs.sparkSession)
     text = text_or_empty(text_col)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text_")).where("doc_id is not null")
     rows = written(_described(texts, k), "signatures")
