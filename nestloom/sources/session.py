@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import threading
 import time
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from typing import Any
@@ -125,6 +127,35 @@ class Session:
             df = df.limit(plan.limit)
         return self._finish(plan, df, params)
 
+    def collect(self, query: str | Plan, deadline: float | None = None, cancel: threading.Event | None = None, **params: Any) -> list[Row]:
+        """The whole result on the driver. Its jobs, and those that check it, are interrupted after `deadline` seconds or
+        once `cancel` is set; then no rows come back, but an error."""
+        tag, done, why = f"nestloom-{uuid.uuid4().hex}", threading.Event(), []
+        until = None if deadline is None else time.monotonic() + deadline
+
+        def watch() -> None:
+            while not done.wait(0.05):
+                if cancel is not None and cancel.is_set():
+                    why.append("cancelled")
+                elif until is not None and time.monotonic() >= until:
+                    why.append(f"longer than {deadline} s")
+                if why:
+                    self.spark.sparkContext.cancelJobsWithTag(tag)
+
+        watcher = threading.Thread(target=watch, daemon=True)
+        self.spark.sparkContext.addJobTag(tag)
+        watcher.start()
+        try:
+            return self.run_all(query, **params).collect()
+        except Exception as e:
+            if why:
+                raise QueryError("resource_limit", why[0]) from e
+            raise
+        finally:
+            done.set()
+            watcher.join()
+            self.spark.sparkContext.removeJobTag(tag)
+
     def run(self, query: str | Plan, after: str | None = None, **params: Any) -> Page:
         """One page, in order, with a token for the next."""
         plan = self.compile(query)

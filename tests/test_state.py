@@ -1,4 +1,11 @@
+import threading
+
+import pytest
+from pyspark.sql import functions as F
+
+from nestloom.errors import QueryError
 from nestloom.operators import coverage, history
+from nestloom.sources.session import Session
 from nestloom.streaming.live import folded, follow
 
 COLUMNS = "key string, seq long, event_id long, kind string, body string"
@@ -37,3 +44,18 @@ def test_a_stream_folds_to_the_live_state(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out/v1"))
     assert {r.key: r.body for r in got.where("kind = 'put'").collect()} == {r.key: r.body for r in history.live_state(e).collect()}
     assert folded(got, e.limit(0)).count() == 3
+
+
+def test_deadlines_and_cancellation(spark):
+    slow = spark.range(0, 4, 1, 4).withColumn("x", F.expr("reduce(sequence(1, 3000000), 0D, (a, i) -> a + sqrt(i * (id + 1)) % 7)"))
+    s = Session(spark)
+    s.bind("slow", slow, "id")
+    s.bind("fast", spark.range(3), "id")
+    assert len(s.collect("from fast", deadline=60, cancel=threading.Event())) == 3
+    stop = threading.Event()
+    stop.set()
+    for limits in ({"deadline": 0.1}, {"cancel": stop}):
+        with pytest.raises(QueryError) as e:
+            s.collect("from slow where x > 0", **limits)
+        assert e.value.code == "resource_limit"
+    assert len(s.collect("from fast")) == 3
