@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
-from .common import give_back, text_batches, text_or_empty
+from .common import give_back, holds, make_room, text_batches, text_or_empty
 from .word_cache import LONGEST, WordCache
 
 #: Pre-tokens, a quarter of the token pairs and words of a generation that a worker remembers; they only save time.
@@ -248,6 +248,9 @@ def codec(file: str) -> TextCodec:
     return TextCodec(file)
 
 
+holds(__name__, codec.cache_clear)
+
+
 def encode_decode(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """For each row: the id, n_tokens, ids_sha256, decoded_sha256; with keep_ids also ids, packed as 32-bit integers."""
     text_batches(docs.sparkSession)
@@ -255,6 +258,7 @@ def encode_decode(docs: DataFrame, file: str, id_col: str = "doc_id", text_col:
     extra = ", ids binary" if keep_ids else ""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(__name__)
         c = codec(file)
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):

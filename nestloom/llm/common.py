@@ -6,7 +6,9 @@ import atexit
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,12 +81,15 @@ def small_side(df: DataFrame) -> DataFrame:
 
 #: Rows of an Arrow batch of whole texts; Spark's own number would hold tens of MB in the executor and again in its worker.
 TEXT_BATCH, _OWN_BATCH, _BATCH_KEY = "1000", "10000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes after which a batch ends sooner, so that very long texts don't gather in one.
+TEXT_BYTES, _OWN_BYTES, _BYTES_KEY = "4194304b", "67108864b", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Sets the session's Arrow batches to TEXT_BATCH rows unless they were set to another number than Spark's own."""
-    if spark.conf.get(_BATCH_KEY) == _OWN_BATCH:
-        spark.conf.set(_BATCH_KEY, TEXT_BATCH)
+    """Sets the session's Arrow batches to TEXT_BATCH rows and TEXT_BYTES unless they were set to others than Spark's own."""
+    for key, own, new in ((_BATCH_KEY, _OWN_BATCH, TEXT_BATCH), (_BYTES_KEY, _OWN_BYTES, TEXT_BYTES)):
+        if spark.conf.get(key) == own:
+            spark.conf.set(key, new)
 
 
 #: Bytes of texts after whose handling a worker gives freed memory back.
@@ -100,10 +105,27 @@ def give_back(handled: int = GIVE_BACK) -> None:
     _handled += handled
     if _handled >= GIVE_BACK:
         _handled = 0
+        pa.default_memory_pool().release_unused()
         if _trim is not None:
             _trim(0)
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def holds(owner: str, forget: Callable[[], None]) -> None:
+    """Called by a module whose workers keep caches: forget empties them."""
+    _held[owner] = forget
+
+
+def make_room(owner: str) -> None:
+    """Called by a worker at the start of a task: caches of other operators, whose stages this worker served before, go."""
+    for other, forget in _held.items():
+        if other != owner:
+            forget()
+    give_back()
+
+
 def put_file(folder: str, name: str, data: bytes) -> None:
     """Writes a file of the shared folder from a worker: under a name of its own, then moved, so that a repeated or a
     lost task leaves whole files only. Works on any file system that pyarrow opens by its address."""

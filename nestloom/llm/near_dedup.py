@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, small_side, text_batches, text_or_empty, written
+from .common import give_back, make_room, small_side, text_batches, text_or_empty, written
 from .components import components
 from .shingles import constants, mix, shingle_sets
 
@@ -69,6 +69,7 @@ def _described(docs: DataFrame, k: int) -> DataFrame:
     factor, band = constants(ROWS, 5), constants(BANDS, 6)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(__name__)
         for batch in batches:
             for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
                 sets = shingle_sets(part.column(2).to_pylist(), k)
