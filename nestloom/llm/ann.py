@@ -2,12 +2,16 @@
 
 Each of TREES trees gives a vector a string of 64 bits, the signs of its products with random directions, and is the sorted
 array of these strings. A query descends to where its own string stands, so to its longest prefix match, and ascends
-through shorter prefixes, which are ever wider intervals around that place. All trees ascend together: the prefix length is
-the longest at which their intervals hold CANDIDATES vectors in all. Those are compared exactly, in double precision.
+through shorter prefixes, which are ever wider intervals around that place. All trees ascend together, in two steps. The
+first goes up to the longest prefix at which the intervals of FIRST trees hold START strings; the k-th best score among
+those is a lower bound for the true one. Two vectors at an angle a share b bits of a tree with probability (1 - a/pi)**b,
+so the second goes up to the longest prefix at which a vector as near as that bound is missed by all trees with a
+probability of at most MISS. This rule knows neither the number of vectors nor their length. Where even the widest
+intervals of all trees hold more strings than one whole tree, the query is compared with one whole tree, so with all.
 
-The arrays are dealt out as runs of the sorted order of (tree, string), about SEGMENT strings to a task; a first pass over
-the strings alone finds each query's prefix length, a second compares inside the runs and returns each query's best of a
-run. An interval ends where its run ends. Equal vectors are one class, searched once and represented by their least ids.
+The arrays are dealt out as runs of the sorted order of (tree, string), about SEGMENT strings to a run. A query goes to
+every run that its interval meets, so nothing is lost at the ends of runs. Found vectors are compared exactly, in double
+precision. Equal vectors are one class, searched once and represented by their least ids.
 
 Vectors that are null, zero, empty or hold a null or a non-finite component take no part; vectors of other lengths are in
 trees of their own. Repeated ids count once for each different vector. Ties go to the smaller id. Fewer candidates than k
@@ -26,7 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-TREES, BITS, CANDIDATES, SEGMENT, SALT = 24, 64, 30_000, 1 << 15, 16
+TREES, BITS, SEGMENT, SALT = 24, 64, 1 << 15, 16
+#: Trees and strings of the first step, and the probability with which the second may miss a neighbour.
+FIRST, START, MISS = 4, 6_000, 0.1
+_SIGN = np.uint64(1 << 63)
 
 
 def _directions(size: int) -> np.ndarray:
@@ -87,26 +94,132 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
             yield part.sort_values(["code", "rep"], kind="stable").reset_index(drop=True)
 
 
-def _ascents(strings: DataFrame, parts: int, wanted: int) -> DataFrame:
-    """rep, bits: the longest prefix of each query at which all trees together hold the wanted number."""
+def _ascents(strings: DataFrame, parts: int, wanted: int) -> tuple[DataFrame, dict[tuple[int, int], tuple[int, np.ndarray]]]:
+    """rep, bits: the longest prefix of each query at which the first trees hold the wanted number within its own parts.
+    And for each (size, tree) the number of its first run and the string that each of its runs starts with."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["rep", "counts", "size", "tree", "bound"]
         for rows in _runs(batches):
-            codes, at = rows["code"].to_numpy(), np.flatnonzero(rows["query"].to_numpy())
+            codes, at, size, tree = rows["code"].to_numpy(), np.flatnonzero(rows["query"].to_numpy()), int(rows["size"][0]), int(rows["tree"][0])
+            bounds = codes[::SEGMENT]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(bounds), pa.int64()), pa.nulls(len(bounds), pa.list_(pa.int64())), pa.array(np.full(len(bounds), size), pa.int32()), pa.array(np.full(len(bounds), tree), pa.int32()), pa.array(bounds, pa.int64())], names=names)
+            if tree >= FIRST or not len(at):
+                continue
             counts = np.empty((len(at), BITS + 1), dtype=np.int64)
             for n in range(BITS + 1):
                 lo, hi = _intervals(codes, at, np.full(len(at), n))
                 counts[:, n] = hi - lo
-            yield pa.RecordBatch.from_arrays([pa.array(rows["rep"].to_numpy()[at], pa.int64()), pa.array(list(counts), pa.list_(pa.int64()))], names=["rep", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows["rep"].to_numpy()[at], pa.int64()), pa.array(list(counts), pa.list_(pa.int64())), *(pa.nulls(len(at), t) for t in (pa.int32(), pa.int32(), pa.int64()))], names=names)
 
     slim = strings.select("rep", "size", "query", F.posexplode("codes").alias("tree", "code"))
-    counted = slim.repartitionByRange(parts, "size", "tree", "code").mapInArrow(run, "rep bigint, counts array<bigint>")
-    total = counted.groupBy("rep").agg(*[F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(BITS + 1)])
+    counted = written(slim.repartitionByRange(parts, "size", "tree", "code").mapInArrow(run, "rep bigint, counts array<bigint>, size int, tree int, bound bigint"), "counted")
+    total = counted.where("rep is not null").groupBy("rep").agg(*[F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(BITS + 1)])
     bits = F.coalesce(*[F.when(F.col(f"c{i}") >= wanted, F.lit(i)) for i in range(BITS, -1, -1)], F.lit(0))
-    return total.select("rep", bits.alias("bits"))
+    starts: dict[tuple[int, int], list[int]] = {}
+    for r in counted.where("rep is null").select("size", "tree", "bound").distinct().orderBy("size", "tree", "bound").toLocalIterator():
+        starts.setdefault((r.size, r.tree), []).append(r.bound)
+    runs, first = {}, 0
+    for key, of in starts.items():
+        runs[key] = (first, np.array(of, dtype=np.int64))
+        first += len(of)
+    return total.select("rep", bits.alias("bits")), runs
+
+
+def depth(score: float | None, miss: float = MISS) -> int:
+    """The longest prefix at which all trees miss a vector of at least this score with a probability of at most `miss`."""
+    if score is None:
+        return 0
+    shared = 1 - float(np.arccos(np.clip(score, -1.0, 1.0))) / np.pi
+    need = 1 - miss ** (1 / TREES)
+    return BITS if shared**BITS >= need else int(np.log(need) / np.log(shared)) if shared > 0 else 0
+
+
+def _deal(strings: DataFrame, runs: dict[tuple[int, int], tuple[int, np.ndarray]], trees: int) -> DataFrame:
+    """strings: (rep, size, bits, vector, codes), bits null where nothing is asked. Gives run, asks, rep, vector, lo, hi:
+    each string in its run, with its code as lo; each query in all runs that its interval meets."""
+    shared = strings.sparkSession.sparkContext.broadcast(runs)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+                sizes, bits = part.column(1).to_numpy(zero_copy_only=False), np.array([-1 if b is None else b for b in part.column(2).to_pylist()])
+                codes = part.column(4).flatten().to_numpy().reshape(-1, TREES)
+                got: list[tuple[np.ndarray, ...]] = []
+                for size in set(sizes.tolist()):
+                    at = np.flatnonzero(sizes == size)
+                    for tree in range(trees):
+                        first, bounds = shared.value[(size, tree)]
+                        c = codes[at, tree]
+                        got.append((first + np.searchsorted(bounds, c, "right") - 1, np.zeros(len(at), bool), at, c, c))
+                        who = at[(bits[at] > 0) | (bits[at] == 0) & (tree == 0)]
+                        n = bits[who]
+                        low = np.where(n == 0, np.uint64(0), (u := codes[who, tree].view(np.uint64) ^ _SIGN) >> (64 - np.maximum(n, 1)).astype(np.uint64) << (64 - np.maximum(n, 1)).astype(np.uint64))
+                        high = np.where(n == 0, ~np.uint64(0), low | ((np.uint64(1) << (64 - np.maximum(n, 1)).astype(np.uint64)) - np.uint64(1)))
+                        lo, hi = (low ^ _SIGN).view(np.int64), (high ^ _SIGN).view(np.int64)
+                        a, b = np.maximum(np.searchsorted(bounds, lo, "right") - 1, 0), np.searchsorted(bounds, hi, "right")
+                        times = b - a
+                        inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                        got.append((first + np.repeat(a, times) + inside, np.ones(len(inside), bool), *(np.repeat(x, times) for x in (who, lo, hi))))
+                run_, asks, row, lo, hi = (np.concatenate(x) for x in zip(*got, strict=True))
+                for i in range(0, len(row), 8192):
+                    some = pa.array(row[i : i + 8192])
+                    yield pa.RecordBatch.from_arrays([pa.array(run_[i : i + 8192], pa.int64()), pa.array(asks[i : i + 8192]), part.column(0).take(some), part.column(3).take(some), pa.array(lo[i : i + 8192], pa.int64()), pa.array(hi[i : i + 8192], pa.int64())], names=["run", "asks", "rep", "vector", "lo", "hi"])
+
+    vector_type = strings.schema["vector"].dataType.simpleString()
+    return strings.select("rep", "size", "bits", "vector", "codes").mapInArrow(run, f"run bigint, asks boolean, rep bigint, vector {vector_type}, lo bigint, hi bigint")
+
+
+def _search(strings: DataFrame, runs: dict[tuple[int, int], tuple[int, np.ndarray]], trees: int, parts: int, k: int) -> DataFrame:
+    """rep, other, score: the k + 1 best found for each query, itself among them."""
+
+    def matrix(column: pa.Array, n: int) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, ready = -1, [], False
+        v = norm = codes = reps = np.empty(0)
+        for batch in batches:
+            of, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            cuts = np.flatnonzero((np.diff(of) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(of)], strict=True):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if of[a] != now:
+                    now, held, ready = of[a], [], False
+                if not asks[a]:
+                    held.append((part.column(2).to_numpy(), matrix(part.column(3), len(part)), part.column(4).to_numpy()))
+                    continue
+                if not ready:
+                    if not held:  # no string stands in this run
+                        continue
+                    reps, v, codes = (np.concatenate(x) for x in zip(*held, strict=True))
+                    order = np.lexsort((reps, codes))
+                    reps, v, codes, held, ready = reps[order], v[order], codes[order], [], True
+                    norm = np.sqrt(np.einsum("ij,ij->i", v, v))
+                mine, vectors = part.column(2).to_numpy(), matrix(part.column(3), len(part))
+                lo, hi = np.searchsorted(codes, part.column(4).to_numpy(), "left"), np.searchsorted(codes, part.column(5).to_numpy(), "right")
+                q, o, s = [], [], []
+                for rep, x, i, j in zip(mine, vectors, lo.tolist(), hi.tolist(), strict=True):
+                    if i == j:
+                        continue
+                    score = (v[i:j] @ x) / (norm[i:j] * np.sqrt(x @ x))
+                    t = np.arange(j - i) if j - i <= 4 * k else np.flatnonzero(score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1])
+                    best = t[np.lexsort((reps[i:j][t], -score[t]))][: k + 1]
+                    q.append(np.full(len(best), rep))
+                    o.append(reps[i:j][best])
+                    s.append(score[best])
+                if q:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip((q, o, s), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["rep", "other", "score"])
+
+    met = _deal(strings, runs, trees).repartition(parts, "run").sortWithinPartitions("run", "asks").mapInArrow(run, "rep bigint, other bigint, score double")
+    best = met.groupBy("rep", "other").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("rep").orderBy(F.desc("score"), "other")
+    return best.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
 
 
-def nearest(rows: DataFrame, k: int = 5, every: int = 50, candidates: int = CANDIDATES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, k: int = 5, every: int = 50, start: int = START, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for each id divisible by `every`."""
     base = rows.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).alias("vector")).where(F.col("vec_id").isNotNull() & valid(F.col("vector")))
     classes = written(_classes(base, k), "classes")
@@ -114,32 +227,17 @@ def nearest(rows: DataFrame, k: int = 5, every: int = 50, candidates: int = CAND
     strings = _strings(classes, every)
     asked = own.select("rep").distinct().withColumn("asked", F.lit(True))
     strings = written(strings.drop("query").join(asked, "rep", "left").select("rep", "size", F.coalesce("asked", F.lit(False)).alias("query"), "vector", "codes"), "strings")
-    parts = max(1, -(-strings.count() * TREES // SEGMENT))
-    bits = written(_ascents(strings, parts, candidates), "ascents")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _runs(batches):
-            codes, reps = part["code"].to_numpy(), part["rep"].to_numpy()
-            at = np.flatnonzero(part["query"].to_numpy())
-            if not len(at):
-                continue
-            v = np.array(part["vector"].tolist(), dtype=np.float64)
-            norm = np.sqrt(np.einsum("ij,ij->i", v, v))
-            lo, hi = _intervals(codes, at, part["bits"].to_numpy()[at].astype(np.int64))
-            q, o, s = [], [], []
-            for i, a, b in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                score = (v[a:b] @ v[i]) / (norm[a:b] * norm[i])
-                best = np.lexsort((reps[a:b], -score))[: k + 1] if b - a <= 4 * k else (t := np.flatnonzero(score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1]))[np.lexsort((reps[a:b][t], -score[t]))][: k + 1]
-                q.append(np.full(len(best), reps[i]))
-                o.append(reps[a:b][best])
-                s.append(score[best])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip((q, o, s), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["rep", "other", "score"])
-
-    full = strings.join(bits, "rep", "left").select("rep", "size", "query", "vector", F.coalesce("bits", F.lit(0)).alias("bits"), F.posexplode("codes").alias("tree", "code"))
-    met = full.repartitionByRange(parts, "size", "tree", "code").mapInArrow(run, "rep bigint, other bigint, score double")
-    best = met.groupBy("rep", "other").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("rep").orderBy(F.desc("score"), "other")
-    best = written(best.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).drop("r"), "best")
+    n = strings.count()
+    parts = max(1, -(-n * TREES // SEGMENT))
+    bits, runs = _ascents(strings, parts, start)
+    first = _search(strings.join(written(bits, "ascents"), "rep", "left"), runs, FIRST, max(1, -(-n * FIRST // SEGMENT)), k)
+    # One of the k + 1 best is the query itself.
+    bound = written(first.groupBy("rep").agg(F.min(F.when(F.col("r") == k + 1, F.col("score"))).alias("bound")), "bounds")
+    rule = F.udf(lambda score: b if TREES < 1 << (b := depth(score)) else 0, "int")
+    bits = written(bound.select("rep", rule("bound").alias("bits")), "depths")
+    trees = 1 if bits.where("bits > 0").isEmpty() else TREES
+    found = _search(strings.join(bits, "rep", "left"), runs, trees, max(1, -(-n * trees // SEGMENT)), k)
+    best = written(found.drop("r"), "best")
     pairs = best.join(classes.select(F.col("rep").alias("other"), F.explode("ids").alias("vec_id")), "other")
     pairs = own.join(pairs, "rep").where("vec_id <> query_id")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
