@@ -8,8 +8,9 @@ least RUN words cover. A block that is neither inside an article nor free of thi
 boilerplate and goes; unique runs stay. Text inside an article is kept even where other pages repeat it, as an article may
 stand on several pages; text beside an article goes with or without cover.
 
-A host's pages are dealt by hash to shards of about SHARD pages, so that no task holds a host of unbounded size; template
-text, which is on most of a host's pages, is found in each of them.
+A host's pages are dealt by hash to shards of about SHARD pages, so that no task holds a host of unbounded size. For hosts of
+several shards the windows that stand on two or more distinct pages of the whole host are found by an aggregation of
+(host, window hash), and each shard gets those that occur in it, so the cover doesn't depend on the dealing.
 
 A null or empty html gives an empty text. Pages without a host (null or odd address) form one host. Every row is returned,
 repeated ones too; copies of a row are one page to the search. Only page_id, url and html are read, so other columns can't
@@ -18,6 +19,7 @@ clash. An empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterable, Iterator
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_side, text_or_empty, written
-from .shingles import _word_hashes
+from .shingles import _word_hashes, constants, mix
 
 RUN, COVERED, SHARD = 8, 0.7, 256
 
@@ -151,6 +153,24 @@ def covered_words(streams: list[np.ndarray], run: int = RUN) -> list[np.ndarray]
     return np.split(np.cumsum(depth[:-1]) > 0, np.cumsum(size)[:-1])
 
 
+def _windows(words: np.ndarray, run: int = RUN) -> np.ndarray:
+    """A hash of each window of that many words."""
+    n = len(words) - run + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    factor = constants(run, 6)
+    return mix(sum((words[j : n + j] * factor[j] for j in range(run)), np.zeros(n, np.uint64)))
+
+
+def _spread(hit: np.ndarray, size: int, run: int = RUN) -> np.ndarray:
+    """Which of the words lie in a window that is hit."""
+    depth = np.zeros(size + 1, dtype=np.int64)
+    at = np.flatnonzero(hit)
+    depth[at] += 1
+    depth[at + run] -= 1
+    return np.cumsum(depth[:-1]) > 0
+
+
 def _words(blocks: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all blocks, and each block's number of words."""
     data = np.frombuffer("\n".join(blocks).encode("utf-8", "surrogatepass"), np.uint8)
@@ -170,13 +190,40 @@ def extract_text(pages: DataFrame) -> DataFrame:
                 flags = [bytes(own + 2 * never for _, own, never in r) for r in rows]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], part.column(4), pa.array(texts, pa.list_(pa.string())), pa.array(flags, pa.binary())], names=["page_id", "url", "host", "shard", "blocks", "flags"])
 
+    def cut_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
+                got = []
+                for key, shard, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    texts = [b for b, _, _ in page_blocks(text)]
+                    if texts and len(w := np.unique(_windows(_words(texts)[0]).view(np.int64))):
+                        page = int.from_bytes(hashlib.blake2b("\n".join(texts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+                        got.append((np.full(len(w), key), np.full(len(w), shard), w, np.full(len(w), page)))
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*got, strict=True)], names=["key", "shard", "window", "page"])
+
+    def undecided(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Hosts of pages whose text the cover decides."""
+        for batch in batches:
+            keys = {k for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if not any(own and not never for _, own, never in page_blocks(text))}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(keys), pa.int64())], names=["key"])
+
     named = pages.select("page_id", "url", host.alias("host"), text_or_empty("html").alias("html"))
     shards = written(named.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("bigint").alias("shards")).where("shards > 1"), "hosts")
     shard = F.pmod(F.xxhash64("page_id", F.lit(5)), F.coalesce("shards", F.lit(1).cast("bigint")))
     dealt = named.join(small_side(shards), "host", "left").select("page_id", "url", "host", "html", shard.alias("shard"))
     blocks = dealt.mapInArrow(cut, f"page_id {id_type}, url string, host string, shard bigint, blocks array<string>, flags binary")
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+    # Copies of a page have one number, so they don't make a window repeated.
+    large = named.join(small_side(shards), "host").select(F.xxhash64("host").alias("key"), shard.alias("shard"), "html")
+    # Where no page's text is decided by the cover, windows would change nothing.
+    asked = written(large.select("key", "html").mapInArrow(undecided, "key bigint").distinct(), "undecided")
+    windows = large.join(small_side(asked), "key", "left_semi").mapInArrow(cut_windows, "key bigint, shard bigint, window bigint, page bigint")
+    repeated = windows.groupBy("key", "window").agg(F.min("page").alias("a"), F.max("page").alias("b"), F.collect_set("shard").alias("shard")).where("a < b")
+    per_shard = repeated.select("key", F.explode("shard").alias("shard"), "window").groupBy("key", "shard").agg(F.collect_list("window").alias("windows"))
+    fed = per_shard.join(small_side(shards).select("host", F.xxhash64("host").alias("key")), "key").select("host", "shard", "windows")
+
+    def search(pdf: pd.DataFrame, whole: pd.DataFrame) -> pd.DataFrame:
         texts = [list(b) for b in pdf["blocks"]]
         flags = [np.frombuffer(f, np.uint8) for f in pdf["flags"]]
         distinct: dict[str, int] = {}
@@ -184,6 +231,9 @@ def extract_text(pages: DataFrame) -> DataFrame:
         some = [texts[number.index(i)] for i in range(len(distinct))]
         found = [_words(b) if b else (np.empty(0, np.uint64), np.empty(0, np.int64)) for b in some]
         cover = covered_words([w for w, _ in found])
+        for windows in whole["windows"]:
+            of_host = np.asarray(windows, dtype=np.int64)
+            cover = [c | _spread(np.isin(_windows(w).view(np.int64), of_host), len(w)) for c, (w, _) in zip(cover, found, strict=True)]
         out = []
         for i, b, f in zip(number, texts, flags, strict=True):
             own, never = (f & 1).astype(bool), (f & 2).astype(bool)
@@ -193,4 +243,4 @@ def extract_text(pages: DataFrame) -> DataFrame:
             out.append("\n".join(x for x, k in zip(b, keep.tolist(), strict=True) if k))
         return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": out, "n_chars": [len(t) for t in out]})
 
-    return blocks.groupBy("host", "shard").applyInPandas(search, f"page_id {id_type}, url string, text string, n_chars bigint")
+    return blocks.groupBy("host", "shard").cogroup(fed.groupBy("host", "shard")).applyInPandas(search, f"page_id {id_type}, url string, text string, n_chars bigint")

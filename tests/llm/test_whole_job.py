@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from nestloom.llm import ann
+from nestloom.llm import ann, html_text
 
 
 def recall(spark, path, n, queries=40):
@@ -27,3 +27,14 @@ def recall(spark, path, n, queries=40):
 def test_recall_holds_as_the_table_grows(spark, tmp_path):
     assert recall(spark, str(tmp_path / "small.parquet"), 8_000) >= 0.9
     assert recall(spark, str(tmp_path / "large.parquet"), 120_000) >= 0.9
+
+
+def test_a_block_on_two_pages_of_a_large_host_goes(spark):
+    def twice(i):
+        return " ".join(f"word{i}of{j}" for j in range(12))
+
+    rows = [(i, f"http://large.org/{i}", f"<div>{twice(i % 400)}</div><p>unique words {i} of page {i * 7}</p>") for i in range(800)]
+    rows += [(2000, "http://large.org/x", "<div>this long passage stands on one page only, though the page has a copy</div>")] * 2
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [i for i in range(800) if got[i] != f"unique words {i} of page {i * 7}"] == []
+    assert got[2000].startswith("this long passage")
