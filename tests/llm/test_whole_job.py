@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from nestloom.llm import ann, html_text
+from nestloom.llm import ann, html_text, langid
 
 
 def recall(spark, path, n, queries=40):
@@ -38,3 +38,9 @@ def test_a_block_on_two_pages_of_a_large_host_goes(spark):
     got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [i for i in range(800) if got[i] != f"unique words {i} of page {i * 7}"] == []
     assert got[2000].startswith("this long passage")
+
+
+def test_all_labels_count_in_one_spelling(spark):
+    rows = [(f"x{chr(97 + i // 26)}{chr(97 + i % 26)}", f"word{i} of language{i}") for i in range(70)] + [("pt-BR", "uma casa"), ("PT", "uma casa")]
+    model = langid.fit(spark.createDataFrame(rows, "label string, text string"))
+    assert model.labels == sorted({"pt"} | {label for label, _ in rows[:70]})
