@@ -1,7 +1,8 @@
 """Nesting joins, pipelines over arrays, and projections in braces.
 
 Cardinalities are checked by an action before the result is handed out: a check inside the plan could be pruned away or
-filtered past by what the caller does next.
+filtered past by what the caller does next. The action reads the two keys alone; the joined rows are computed once, by the
+caller. What later steps of a plan keep of attached documents is applied before these are gathered.
 """
 
 from __future__ import annotations
@@ -18,12 +19,15 @@ from ..plans.tree import Compare, Enrich, Filter, If, Item, Path, ProjectBlock,
 from .predicate import Predicates, bind
 from .relational import KEY, rows
 
+#: Columns that stand beside a document's fields for a while.
+LEFT, MATCH, GOT, DOC_KEY, ROW, POS, ELEMENT, ALL, NEW = (f"nestloom_{x}_" for x in ("left", "match", "got", "key", "row", "pos", "el", "all", "new"))
 WITHIN_TYPE, CARDINALITY, PROJECT_TYPE = "rql_within_type", "rql_enrich_cardinality", "rql_project_type"
 
 
 class Attacher:
     def __init__(self, lookup, params: dict[str, Any], nulls_present: bool = False) -> None:
         self.lookup, self.params, self.nulls = lookup, params, nulls_present
+        self.arrays: set[str] = set()  # fields that hold an array in every row, as they were attached as one
 
     def run(self, df: DataFrame, steps: tuple, variant: str | None = None) -> DataFrame:
         steps = list(steps)
@@ -31,12 +35,16 @@ class Attacher:
             step = steps.pop(0)
             scope = rows(df, self.nulls, variant)
             if isinstance(step, Enrich):
+                self.arrays.discard(step.field)
                 test = steps[0].where if steps and isinstance(steps[0], Filter) else None
                 if step.expect == "many" and (kind := _emptiness(test, step.field)) and not _used(steps[1:], step.field):
                     df = self._semi(df, scope, step, kind)
                     steps.pop(0)
                 else:
-                    df = self._enrich(df, scope, step)
+                    inner = steps.pop(0).steps if step.expect == "many" and steps and _pushable(steps[0], step.field) else ()
+                    df = self._enrich(df, scope, step, inner, _needed(steps, step.field) if not inner else None)
+                    if step.expect == "many":
+                        self.arrays.add(step.field)
             elif isinstance(step, Filter):
                 df = df.where(Predicates(scope, self.params).column(step.where))
             elif isinstance(step, Within):
@@ -45,48 +53,65 @@ class Attacher:
                 names = {i.output for i in step.items}
                 key = [F.col(KEY)] if KEY in df.columns and KEY not in names else []
                 df = df.select(*key, *[c.alias(n) for n, c in self.items(scope, step.items)])
+                self.arrays.clear()
         return df
 
     # joins
 
-    def _foreign(self, step: Enrich) -> tuple[DataFrame, Column]:
+    def _foreign(self, step: Enrich) -> tuple[DataFrame, Column, bool]:
+        """The candidates, their key, and whether null keys match null keys."""
         df, nulls, variant = self.lookup(step.source)
         scope = rows(df, nulls, variant)
         if step.where is not None:
             df = df.where(Predicates(scope, self.params).column(step.where))
-        return df, scope.field(step.right.name).canonical()
-
-    def _matches(self, step: Enrich) -> DataFrame:
-        """For each foreign key: n_ and what is attached."""
-        df, key = self._foreign(step)
-        body = [c for c in df.columns if c != KEY]
-        doc = F.struct(*[F.col(f"`{c}`") for c in body])
-        df = df.select(key.alias("match_"), F.struct(F.col(KEY).alias("key_"), doc.alias("doc")).alias("hit_")).where("match_ is not null")
-        if step.expect == "many":
-            hits = F.transform(F.sort_array(F.collect_list("hit_")), lambda h: h["doc"])
-            return df.groupBy("match_").agg(hits.alias("got_"))
-        return df.groupBy("match_").agg(F.count(F.lit(1)).alias("n_"), F.first(F.col("hit_.doc")).alias("got_"))
+        return df, scope.field(step.right.name).canonical(), self.nulls and nulls
+
+    def _gathered(self, df: DataFrame, key: Column, inner: tuple, needed: set[str] | None) -> DataFrame:
+        """For each foreign key the array of what is attached, in order of the documents' keys."""
+        body = [c for c in df.columns if c != KEY and (needed is None or c in needed)]
+        df = df.select(key.alias(MATCH), F.col(KEY).alias(DOC_KEY), *[F.col(f"`{c}`") for c in body])
+        for step in inner:
+            scope = rows(df.drop(MATCH, DOC_KEY), self.nulls, None)
+            if isinstance(step, Filter):
+                df = df.where(Predicates(scope, self.params).column(step.where))
+            else:
+                df = df.select(MATCH, DOC_KEY, *[c.alias(n) for n, c in self.items(scope, step.items)])
+        doc = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in (MATCH, DOC_KEY)])
+        hits = F.sort_array(F.collect_list(F.struct(F.col(DOC_KEY).alias("key"), doc.alias("doc"))))
+        return df.groupBy(MATCH).agg(F.transform(hits, lambda h: h["doc"]).alias(GOT))
 
-    def _enrich(self, df: DataFrame, scope: Scope, step: Enrich) -> DataFrame:
+    def _enrich(self, df: DataFrame, scope: Scope, step: Enrich, inner: tuple, needed: set[str] | None) -> DataFrame:
         key = scope.field(step.left.name)
         if key.family == "absent":
             raise QueryError("rql_enrich_path", step.left.name)
-        right = self._matches(step)
-        joined = df.withColumn("left_", key.canonical()).join(right, F.col("left_") == F.col("match_"), "left")
+        foreign, match, nulls_match = self._foreign(step)
+        left = df.withColumn(LEFT, _key(key.canonical(), nulls_match))
+        match = _key(match, nulls_match)
         if step.expect == "many":
-            got = F.coalesce("got_", F.array().cast(right.schema["got_"].dataType))
+            right = self._gathered(foreign.where(match.isNotNull()), match, inner, needed)
+            joined = left.join(right, F.col(LEFT) == F.col(MATCH), "left")
+            return joined.withColumn(step.field, F.coalesce(GOT, F.array().cast(right.schema[GOT].dataType))).drop(LEFT, MATCH, GOT)
+        self._check(left.select(LEFT), foreign.select(match.alias(MATCH)), step)
+        doc = F.struct(*[F.col(f"`{c}`") for c in foreign.columns if c != KEY])
+        right = foreign.select(match.alias(MATCH), doc.alias(GOT))
+        return left.join(right, F.col(LEFT) == F.col(MATCH), "left").withColumn(step.field, F.col(GOT)).drop(LEFT, MATCH, GOT)
+
+    def _check(self, left: DataFrame, right: DataFrame, step: Enrich) -> None:
+        """Every key asked for has at most one candidate, and exactly one where that is expected."""
+        counted = right.where(F.col(MATCH).isNotNull()).groupBy(MATCH).agg(F.count(F.lit(1)).alias("n"))
+        if step.expect == "optional":  # few keys are repeated, if any
+            bad = counted.where("n > 1").join(left.distinct(), F.col(LEFT) == F.col(MATCH), "left_semi").select(F.col(MATCH).alias(LEFT), "n")
         else:
-            n = F.coalesce("n_", F.lit(0))
-            bad = n > 1 if step.expect == "optional" else n != 1
-            if found := joined.where(bad).select("left_", n.alias("n")).limit(1).collect():
-                raise QueryError(CARDINALITY, f"{step.field}: {found[0].n} matches for {found[0].left_!r}")
-            got = F.col("got_")
-        return joined.withColumn(step.field, got).drop("left_", "match_", "n_", "got_")
+            n = F.coalesce("n", F.lit(0)).alias("n")
+            bad = left.distinct().join(counted, F.col(LEFT) == F.col(MATCH), "left").select(LEFT, n).where("n <> 1")
+        if found := bad.limit(1).collect():
+            raise QueryError(CARDINALITY, f"{step.field}: {found[0].n} matches for {found[0][LEFT]!r}")
 
     def _semi(self, df: DataFrame, scope: Scope, step: Enrich, kind: str) -> DataFrame:
         """Attaching many and asking only whether there are any is a semi or anti join."""
-        right, key = self._foreign(step)
-        return df.withColumn("left_", scope.field(step.left.name).canonical()).join(right.select(key.alias("match_")), F.col("left_") == F.col("match_"), kind).drop("left_")
+        right, match, nulls_match = self._foreign(step)
+        left = df.withColumn(LEFT, _key(scope.field(step.left.name).canonical(), nulls_match))
+        return left.join(right.select(_key(match, nulls_match).alias(MATCH)), F.col(LEFT) == F.col(MATCH), kind).drop(LEFT)
 
     # arrays
 
@@ -98,7 +123,7 @@ class Attacher:
 
     def _within(self, df: DataFrame, scope: Scope, step: Within) -> DataFrame:
         value, kind = self._array(scope, step.path)
-        if not df.where(value.isNull()).limit(1).isEmpty():
+        if step.path.name not in self.arrays and not df.where(value.isNull()).limit(1).isEmpty():
             raise QueryError(WITHIN_TYPE, f"{step.path.name} is absent or null in a row")
         if "." in step.path.name:
             raise QueryError(WITHIN_TYPE, "only arrays at the top of a row or an element")
@@ -143,17 +168,17 @@ class Attacher:
         kind = df.schema[name].dataType.elementType
         if not isinstance(kind, T.StructType):
             raise QueryError(WITHIN_TYPE, "elements aren't objects")
-        df = df.withColumn("row_", F.monotonically_increasing_id() if KEY not in df.columns else F.col(KEY))
-        parts = df.select("row_", F.posexplode(name).alias("pos_", "el_")).select("row_", "pos_", *[F.col("el_").getField(c).alias(c) for c in kind.names if c != KEY])
+        df = df.withColumn(ROW, F.monotonically_increasing_id() if KEY not in df.columns else F.col(KEY))
+        parts = df.select(ROW, F.posexplode(name).alias(POS, ELEMENT)).select(ROW, POS, *[F.col(ELEMENT).getField(c).alias(c) for c in kind.names if c != KEY])
         parts = Attacher(self.lookup, self.params, self.nulls).run_inner(parts, step.steps)
-        body = [c for c in parts.columns if c not in ("row_", "pos_")]
-        gathered = parts.groupBy("row_").agg(F.sort_array(F.collect_list(F.struct("pos_", F.struct(*[F.col(f"`{c}`") for c in body]).alias("el_")))).alias("all_"))
-        gathered = gathered.select("row_", F.transform("all_", lambda x: x["el_"]).alias("new_"))
-        new = F.coalesce("new_", F.array().cast(gathered.schema["new_"].dataType))
-        return df.join(gathered, "row_", "left").withColumn(name, new).drop("row_", "new_")
+        body = [c for c in parts.columns if c not in (ROW, POS)]
+        gathered = parts.groupBy(ROW).agg(F.sort_array(F.collect_list(F.struct(POS, F.struct(*[F.col(f"`{c}`") for c in body]).alias(ELEMENT)))).alias(ALL))
+        gathered = gathered.select(ROW, F.transform(ALL, lambda x: x[ELEMENT]).alias(NEW))
+        new = F.coalesce(NEW, F.array().cast(gathered.schema[NEW].dataType))
+        return df.join(gathered, ROW, "left").withColumn(name, new).drop(ROW, NEW)
 
     def run_inner(self, df: DataFrame, steps: tuple) -> DataFrame:
-        keep = ["row_", "pos_"]
+        keep = [ROW, POS]
         for step in steps:
             if isinstance(step, ProjectBlock):
                 df = df.select(*keep, *[c.alias(n) for n, c in self.items(rows(df, self.nulls, None), step.items)])
@@ -214,3 +239,43 @@ def _used(steps: list, field: str) -> bool:
             return True
     return True
 
+
+def _key(key: Column, nulls_match: bool) -> Column:
+    """A join key; inside a struct null equals null."""
+    return F.struct(key.alias("k")) if nulls_match else key
+
+
+def _pushable(step: Any, field: str) -> bool:
+    """Whether a within over an attached array can be applied before the array is gathered."""
+    return isinstance(step, Within) and step.path.name == field and all(isinstance(x, (Filter, ProjectBlock)) for x in step.steps)
+
+
+def _needed(steps: list, field: str) -> set[str] | None:
+    """The fields of the documents attached at `field` that later steps read, if a projection ends their use; None: all."""
+    out: set[str] = set()
+
+    def read(name: str) -> bool:
+        first, _, rest = name.partition(".")
+        if first == field:
+            out.add(rest.split(".")[0])
+        return first != field or bool(rest)
+
+    def block(items: tuple) -> bool:
+        for i in items:
+            if isinstance(i.value, Path) and i.value.name == field and i.block is not None:
+                if not all(isinstance(x.value, Path) for x in i.block):
+                    return False
+                out.update(x.value.name.split(".")[0] for x in i.block)
+            elif isinstance(i.value, Path):
+                if not read(i.value.name):
+                    return False
+            elif field in repr(i.value):
+                return False
+        return True
+
+    for step in steps:
+        if isinstance(step, ProjectBlock):
+            return out if block(step.items) else None
+        if field in repr(step):
+            return None
+    return None

@@ -5,13 +5,15 @@ events: (key, seq, event_id, kind put | delete, body, known_gap_before).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def history(events: DataFrame, key: str) -> DataFrame:
-    """A key's events, oldest first, each once."""
-    return events.where(F.col("key") == key).dropDuplicates(["event_id"]).orderBy("seq")
+    """A key's events, oldest first, each once; hole_before where the log says that something before it is missing."""
+    found = events.where(F.col("key") == key).dropDuplicates(["event_id"])
+    gap = F.coalesce("known_gap_before", F.lit(False)) if "known_gap_before" in events.columns else F.lit(False)
+    return found.withColumn("hole_before", gap).orderBy("seq", "event_id")
 
 
 def live_state(events: DataFrame) -> DataFrame:
@@ -25,19 +27,25 @@ def version(events: DataFrame, event_id) -> DataFrame:
 
 
 def last_complete(events: DataFrame, cross_tombstone: bool = False) -> DataFrame:
-    """For each key the newest put with a whole body before the current event; a delete stops the search."""
-    w = Window.partitionBy("key").orderBy(F.desc("seq"), F.desc("event_id"))
-    ranked = events.withColumn("age", F.row_number().over(w)).withColumn("deletes", F.sum((F.col("kind") == "delete").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    found = ranked.where("age > 1 and kind = 'put' and body is not null" + ("" if cross_tombstone else " and deletes = 0"))
-    return found.groupBy("key").agg(F.max_by(F.struct("body", "seq"), "seq").alias("v")).select("key", "v.body", "v.seq")
+    """For each key the newest put with a whole body before the current event; a delete stops the search. Both steps
+    aggregate in part before they shuffle, so a key with many events is no task of its own."""
+    at = F.struct("seq", "event_id")
+    per_key = events.groupBy("key").agg(F.max(at).alias("current"), F.max(F.when(F.col("kind") == "delete", at)).alias("deleted"))
+    found = events.where("kind = 'put' and body is not null").join(per_key, "key").where(at < F.col("current"))
+    if not cross_tombstone:
+        found = found.where(F.col("deleted").isNull() | (at > F.col("deleted")))
+    return found.groupBy("key").agg(F.max_by(F.struct("body", "seq"), at).alias("v")).select("key", "v.body", "v.seq")
+
+
+def _digest() -> Column:
+    """Of a replica's body; a null body is unlike an empty one."""
+    return F.coalesce(F.sha2("body", 256), F.lit("null"))
 
 
 def conflicts(replicas: DataFrame) -> DataFrame:
     """replicas: (subject, node, body). Subjects whose replicas hold different bodies; none of them wins."""
-    digest = F.sha2(F.coalesce(F.col("body"), F.lit("")), 256)
-    return replicas.groupBy("subject").agg(F.count_distinct(digest).alias("bodies"), F.count(F.lit(1)).alias("replicas")).where("bodies > 1")
+    return replicas.groupBy("subject").agg(F.count_distinct(_digest()).alias("bodies"), F.count(F.lit(1)).alias("replicas")).where("bodies > 1")
 
 
 def converged(replicas: DataFrame) -> DataFrame:
-    digest = F.sha2(F.coalesce(F.col("body"), F.lit("")), 256)
-    return replicas.groupBy("subject").agg(F.count_distinct(digest).alias("bodies"), F.min("body").alias("body")).where("bodies = 1").select("subject", "body")
+    return replicas.groupBy("subject").agg(F.count_distinct(_digest()).alias("bodies"), F.min("body").alias("body")).where("bodies = 1").select("subject", "body")

@@ -23,6 +23,7 @@ class _Source:
     left: tuple[str, str] | None = None  # alias, path
     right: str | None = None
     params: tuple = ()
+    documents: int | None = None  # the most that may be read
 
 
 class MultiQuery:
@@ -63,7 +64,12 @@ class MultiQuery:
     def source_limit(self, n: int) -> MultiQuery:
         return self._last(limit=n)
 
+    def source_budget(self, documents: int) -> MultiQuery:
+        """A source whose filters leave more documents is refused."""
+        return self._last(documents=documents)
+
     def limit(self, n: int) -> MultiQuery:
+        """The first n rows in order of the sources' keys."""
         return MultiQuery(self.session, self.sources, n, self.keys)
 
     def include_keys(self) -> MultiQuery:
@@ -74,6 +80,8 @@ class MultiQuery:
         df = b.df
         for test in s.tests:
             df = df.where(Predicates(rows(df, b.nulls_present, b.variant), dict(s.params), "filter").column(test))
+        if s.documents is not None and df.limit(s.documents + 1).count() > s.documents:
+            raise QueryError("rql_budget_exceeded", f"{s.alias}: documents > {s.documents}")
         if s.limit is not None:
             df = df.orderBy(KEY).limit(s.limit)
         return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(s.alias))
@@ -98,7 +106,9 @@ class MultiQuery:
                 out = out.withColumn("x_", F.struct(x.alias("k"))).join(side.withColumn("y_", F.struct(y.alias("k"))), F.col("x_") == F.col("y_")).drop("x_", "y_")
             else:
                 out = out.withColumn("x_", x).join(side.withColumn("y_", y), F.col("x_") == F.col("y_")).drop("x_", "y_")
+        if self._limit is not None:
+            out = out.orderBy(*[F.col(s.alias).getField(KEY) for s in self.sources]).limit(self._limit)
         if not self.keys:
             for s in self.sources:
                 out = out.withColumn(s.alias, F.col(s.alias).dropFields(KEY))
-        return out if self._limit is None else out.limit(self._limit)
+        return out

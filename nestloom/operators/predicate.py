@@ -108,7 +108,7 @@ class Predicates:
             same = self._equal(f, value)
             if self.filter:
                 return ~F.coalesce(same, F.lit(False))
-            if f.family in ("text", "number", "bool", "time") and value is not None and _fits(f, value) and not self.scope.nulls_present:
+            if f.family in ("text", "number", "bool") and value is not None and _fits(f, value) and not self.scope.nulls_present:
                 return f.value != _literal(f, value)
             return f.present & ~F.coalesce(same, F.lit(False))
         if isinstance(value, bool):
@@ -144,4 +144,5 @@ def _fits(f: Field, value: Any) -> bool:
 
 
 def _literal(f: Field, value: Any) -> Column:
-    return F.lit(value).cast(f.type) if f.family == "time" else F.lit(value)
+    """A text that is no time compares with none."""
+    return F.lit(value).try_cast(f.type) if f.family == "time" else F.lit(value)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import algebra_frames
@@ -12,6 +12,7 @@ from ..operators import coverage, history
 from ..operators.multi import MultiQuery
 from ..operators.relational import rows
 from ..plans import dialects
+from ..plans.build import field
 from ..sources.session import Session
 
 #: Tables and their keys.
@@ -86,13 +87,13 @@ text("enrich_exactly_one", "from orders enrich customer using customer matching
 text("enrich_optional", 'from orders enrich c using customer matching o_custkey = c_custkey where c_mktsegment = "BUILDING" expect optional project { o_orderkey, customer: c.c_custkey }', f"SELECT {_OK}, o_orderkey, c_custkey AS customer FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') ON o_custkey = c_custkey", ("orders", "customer"))
 text("enrich_post_where", 'from orders enrich c using customer matching o_custkey = c_custkey expect optional where c.c_acctbal > 5000 project { o_orderkey }', f"SELECT {_OK}, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 5000", ("orders", "customer"))
 text("enrich_two_levels", "from customer enrich nation using nation matching c_nationkey = n_nationkey expect exactly_one enrich region using region matching nation.n_regionkey = r_regionkey expect exactly_one project { c_custkey, nation: nation.n_name, region: region.r_name }", f"SELECT {_CK}, c_custkey, n_name AS nation, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey", ("customer", "nation", "region"))
-text("enrich_none_is_anti", "from customer enrich orders using orders matching c_custkey = o_custkey expect many where orders = [] project { c_custkey }", f"SELECT {_CK}, c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", ("customer", "orders"))
+text("enrich_none_is_anti", 'from customer enrich orders using orders matching c_custkey = o_custkey where o_orderpriority = "1-URGENT" expect many where orders = [] project { c_custkey }', f"SELECT {_CK}, c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')", ("customer", "orders"))
 text("enrich_some_is_semi", "from customer enrich orders using orders matching c_custkey = o_custkey where o_totalprice > 100000 expect many where orders != [] project { c_custkey }", f"SELECT {_CK}, c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)", ("customer", "orders"))
 
 
 @frame("enrich_many", "SELECT CAST(o_orderkey AS VARCHAR) AS _key, count(l_orderkey) AS n, round(coalesce(sum(l_quantity), 0), 2) AS quantity FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
 def _many(spark, sf_dir):
-    df = session(spark, sf_dir, "orders", "lineitem").run_all("from orders enrich items using lineitem matching o_orderkey = l_orderkey expect many")
+    df = session(spark, sf_dir, "orders", "lineitem").run_all("from orders enrich items using lineitem matching o_orderkey = l_orderkey expect many project { items { l_quantity } }")
     return df.select("_key", F.size("items").cast("bigint").alias("n"), F.round(F.aggregate("items", F.lit(0.0), lambda a, x: a + x["l_quantity"]), 2).alias("quantity"))
 
 
@@ -110,8 +111,7 @@ def _within_enrich(spark, sf_dir):
 
 @frame("key_get", "SELECT CAST(o_orderkey AS VARCHAR) AS _key, o_orderkey, o_orderstatus FROM orders WHERE o_orderkey = 7")
 def _get(spark, sf_dir):
-    c = session(spark, sf_dir, "orders").collection("orders")
-    return c.df.where(F.col("_key") == "7").select("_key", "o_orderkey", "o_orderstatus")
+    return session(spark, sf_dir, "orders").collection("orders").find("7").select("_key", "o_orderkey", "o_orderstatus")
 
 
 @frame("key_get_many", "SELECT k AS _key, o_orderkey IS NOT NULL AS found_, o_orderkey FROM (VALUES ('1'), ('2'), ('nope')) v(k) LEFT JOIN orders ON CAST(o_orderkey AS VARCHAR) = k")
@@ -121,7 +121,7 @@ def _get_many(spark, sf_dir):
 
 @frame("scan_page", f"SELECT {_CK}, c_name FROM customer WHERE CAST(c_custkey AS VARCHAR) > '100' ORDER BY 1 LIMIT 20")
 def _scan_page(spark, sf_dir):
-    return session(spark, sf_dir, "customer").collection("customer").scan_page(20, "100")[0].select("_key", "c_name")
+    return session(spark, sf_dir, "customer").collection("customer").scan_page(20, after_key="100")[0].select("_key", "c_name")
 
 
 @frame("scan_fields", f"SELECT {_CK}, c_mktsegment FROM customer")
@@ -209,11 +209,11 @@ def _algebra_map(spark, sf_dir):
 for _op, _word in (("union", "UNION"), ("inter", "INTERSECT"), ("diff", "EXCEPT"), ("bunion", "UNION ALL"), ("bdiff", "EXCEPT ALL")):
 
     def _set(spark, sf_dir, op=_op):
-        c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").alias("k"))
-        s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_nationkey").alias("k"))
+        c = spark.read.parquet(f"{sf_dir}/customer.parquet").select((F.col("c_custkey") % 120).alias("k"))
+        s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select((F.col("s_suppkey") * 2 % 150).alias("k"))
         return algebra_frames.set_operation(op, c, s)
 
-    frame(f"set_{_op}", f"SELECT c_nationkey AS k FROM customer {_word} SELECT s_nationkey AS k FROM supplier")(_set)
+    frame(f"set_{_op}", f"SELECT c_custkey % 120 AS k FROM customer {_word} SELECT s_suppkey * 2 % 150 AS k FROM supplier")(_set)
 
 
 @frame("bag_difference_arrays", "SELECT c_nationkey AS k, greatest(count(*) - coalesce(any_value(n), 0), 0) AS left_over FROM customer LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) ON c_nationkey = s_nationkey GROUP BY 1")
@@ -267,10 +267,111 @@ def _examine(spark, sf_dir):
     return coverage.by_status(coverage.examine(e.select(F.when(F.col("event_id") % 5 == 0, "{broken").otherwise(line).alias("value")))).select("status", "units")
 
 
-@frame("partition_coverage", "SELECT 'completed' AS state, count(*) AS n FROM orders")
+#: Partitions of a key as coverage deals them, and those that the queries below can reach.
+_PART, _REACHED = "(('0x' || md5(CAST(o_orderkey AS VARCHAR))[1:8])::BIGINT % 64)", [p for p in range(coverage.PARTITIONS) if p % 7]
+
+
+@frame("partition_coverage", f"SELECT CAST(p AS INTEGER) AS part, CASE WHEN p % 7 <> 0 THEN 'completed' ELSE 'unavailable' END AS state, CASE WHEN p % 7 <> 0 THEN coalesce(n, 0) END AS n FROM range(64) r(p) LEFT JOIN (SELECT {_PART} AS part, count(*) AS n FROM orders GROUP BY 1) ON p = part")
 def _coverage(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return coverage.partition_coverage(o, "o_orderkey", list(range(coverage.PARTITIONS))).groupBy("state").agg(F.sum("n").alias("n"))
+    return coverage.partition_coverage(o, "o_orderkey", _REACHED)
+
+
+@frame("scatter_scan_pages", f"SELECT o_orderkey, row_number() OVER (ORDER BY CAST(o_orderkey AS VARCHAR)) AS place FROM orders WHERE {_PART} % 7 <> 0 AND o_orderstatus = 'P' ORDER BY CAST(o_orderkey AS VARCHAR) LIMIT 100")
+def _scatter(spark, sf_dir):
+    """Two pages of a scan over the partitions that can be reached, the second from where the first ends."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'P'")
+    one = coverage.scatter_scan(o, "o_orderkey", _REACHED, 40)
+    two = coverage.scatter_scan(o, "o_orderkey", _REACHED, 60, one.next)
+    key = F.col("o_orderkey").cast("string")
+    return one.rows.unionByName(two.rows).select("o_orderkey", F.row_number().over(Window.orderBy(key)).cast("bigint").alias("place"))
+
+
+@frame("filter_order_by", f"SELECT {_CK}, c_custkey, round(c_acctbal, 2) AS c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY customer.c_acctbal DESC, CAST(c_custkey AS VARCHAR) LIMIT 15")
+def _filter_order(spark, sf_dir):
+    c = session(spark, sf_dir, "customer").collection("customer")
+    return _rounded(c.select(dialects.object_filter({"c_mktsegment": "BUILDING"})).order_by("c_acctbal", desc=True).limit(15).project("c_custkey", "c_acctbal").frame())
+
+
+@frame("built_plan", f"SELECT {_OK}, o_orderkey, c_mktsegment AS segment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 50000 AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND NOT o_orderstatus = 'F' AND c_acctbal >= 0")
+def _built(spark, sf_dir):
+    s = session(spark, sf_dir, "orders", "customer")
+    test = field("o_totalprice").gt(50000) & field("o_orderpriority").is_in("1-URGENT", "2-HIGH") & ~field("o_orderstatus").eq("F")
+    return s.collection("orders").query().where(test).enrich("c", "customer", "o_custkey", "c_custkey", "exactly_one").keep(field("c.c_acctbal").ge(0)).block(o_orderkey="o_orderkey", segment="c.c_mktsegment").run_all()
+
+
+@frame("covered_keys", "SELECT k AS _key, CASE WHEN CAST(k AS BIGINT) % 10 = 0 THEN 'hole' WHEN event_id IS NULL THEN 'absent' ELSE 'present' END AS status FROM (VALUES ('1'), ('10'), ('25'), ('30'), ('99999999')) v(k) LEFT JOIN events ON CAST(event_id AS VARCHAR) = k")
+def _covered(spark, sf_dir):
+    return _holey(spark, sf_dir).covered(["1", "10", "25", "30", "99999999"]).select("_key", "status")
+
+
+@frame("covered_page", "SELECT CAST(event_id AS VARCHAR) AS _key, CASE WHEN event_id % 10 = 0 THEN 'hole' ELSE 'present' END AS status FROM events ORDER BY 1 LIMIT 50")
+def _covered_page(spark, sf_dir):
+    c = _holey(spark, sf_dir)
+    one, token = c.scan_covered_page(20)
+    return one.unionByName(c.scan_covered_page(30, token)[0]).select("_key", "status")
+
+
+def _holey(spark: SparkSession, sf_dir: str):
+    """events as documents; every tenth can't be read."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    s = Session(spark)
+    return s.bind_json("events", e.select(F.col("event_id").alias("_key"), F.when(F.col("event_id") % 10 == 0, "{broken").otherwise(F.col("props")).alias("value")))
+
+
+@frame("budget_soft_stop", f"SELECT {_CK}, c_custkey FROM customer WHERE CAST(c_custkey AS VARCHAR) IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer ORDER BY 1 LIMIT 100) AND c_acctbal > 0")
+def _budget(spark, sf_dir):
+    """The first hundred documents by key are all that the query may read."""
+    return session(spark, sf_dir, "customer").run_all("from customer where c_acctbal > 0 project c_custkey budget { documents: 100 } coverage incomplete")
+
+
+@frame("group_pages", "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey")
+def _group_pages(spark, sf_dir):
+    s, out = session(spark, sf_dir, "lineitem"), None
+    for page in s.pages("from lineitem group by l_suppkey project l_suppkey, count() as n order by n desc, l_suppkey asc page size 40"):
+        out = page.rows if out is None else out.unionByName(page.rows)
+    return out
+
+
+@frame("algebra_match", "SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey")
+def _match(spark, sf_dir):
+    got = session(spark, sf_dir, "customer", "orders").match("customer", "orders", "Match(l, r, x => x<c_custkey>, y => y<o_custkey>);")
+    return got.select("left.c_custkey", "right.o_orderkey")
+
+
+@frame("algebra_bound", "SELECT CAST(p_partkey AS VARCHAR) AS _key, p_partkey FROM part WHERE p_size * 2 + 1 > 60 AND p_brand IN ('Brand#11', 'Brand#12', 'Brand#23')")
+def _algebra_bound(spark, sf_dir):
+    got = session(spark, sf_dir, "part").collection("part").where_sda("input<p_size> * 2 + 1 > least and (input<p_brand> in brands);", least=60, brands=["Brand#11", "Brand#12", "Brand#23"])
+    return got.select("_key", "p_partkey")
+
+
+@frame("algebra_over_collections", "SELECT n_name AS result FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
+def _algebra_over(spark, sf_dir):
+    s = session(spark, sf_dir, "nation", "region")
+    got = s.algebra('let keys = { yield r<r_regionkey> | r in region | r<r_name> = which }; { yield n<n_name> | n in nation | n<n_regionkey> in keys };', "nation", "region", which="ASIA")
+    return spark.createDataFrame([(x,) for x in got], "result string")
+
+
+@frame("put_newest", "SELECT CAST(user_id AS VARCHAR) AS _key, max(event_id) AS event_id FROM events GROUP BY user_id")
+def _put_newest(spark, sf_dir):
+    """Of repeated keys the document of the greatest version is put."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("_key"), "event_id")
+    c = Session(spark).bind("latest", e.limit(0), "_key")
+    c.put(e.withColumn("version", F.col("event_id")), version="version")
+    return c.df
+
+
+@frame("filter_as_algebra", f"SELECT {_OK}, o_orderkey FROM orders WHERE o_orderstatus <> 'F' AND (o_totalprice < 20000 OR starts_with(o_orderpriority, '1')) AND o_custkey NOT IN (1, 2, 3)")
+def _filter_as_algebra(spark, sf_dir):
+    """An object filter, run by the algebra."""
+    test = dialects.json_filter('{"o_orderstatus": {"$ne": "F"}, "$or": [{"o_totalprice": {"$lt": 20000}}, {"o_orderpriority": {"$prefix": "1"}}], "$not": {"o_custkey": {"$in": [1, 2, 3]}}}')
+    return session(spark, sf_dir, "orders").collection("orders").where_sda(dialects.to_algebra(test) + ";").select("_key", "o_orderkey")
+
+
+@frame("result_bytes", f"SELECT _key, r_regionkey FROM (SELECT CAST(r_regionkey AS VARCHAR) AS _key, r_regionkey, sum(strlen('{{\"_key\":\"' || r_regionkey || '\",\"r_regionkey\":' || r_regionkey || '}}')) OVER (ORDER BY r_regionkey) AS total FROM region) WHERE total <= 80")
+def _result_bytes(spark, sf_dir):
+    """As many rows in order as fit into the bytes of the result."""
+    return session(spark, sf_dir, "region").run_all("from region project r_regionkey order by _key budget { result_bytes: 80 } coverage incomplete")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 SMALL = "/root/testdata/sf0.001"
-FEW = ["topk_orders", "where_boolean", "group_aggregates", "aggregate_global_empty", "enrich_optional", "within_enrich", "multi_join", "live_state", "set_bdiff"]
+FEW = ["topk_orders", "where_boolean", "group_aggregates", "aggregate_global_empty", "enrich_optional", "within_enrich", "multi_join", "live_state", "set_bdiff", "set_diff", "enrich_none_is_anti", "enrich_many", "within_where_project", "key_get", "key_get_many", "scan_page", "partition_coverage", "scatter_scan_pages", "filter_order_by", "built_plan", "covered_keys", "covered_page", "budget_soft_stop", "group_pages", "algebra_match", "algebra_bound", "algebra_over_collections", "put_newest", "filter_as_algebra", "result_bytes", "last_complete_version", "small_sql", "sql_rewritten", "algebra_filter", "algebra_map"]
 
 
 def test_every_sql_has_a_query():
