@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,21 +50,43 @@ def file_folder(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may have ended before; nothing depends on the deletion
             return
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+@contextlib.contextmanager
+def dropping(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """keep(df, tag) writes df; at the end of the block all other folders that were made in it are deleted. What leaves the
+    block must have been kept."""
+    first, kept = len(_made), []
+
+    def keep(df: DataFrame, tag: str) -> DataFrame:
+        out = written(df, tag)
+        kept.append(_made[-1])
+        return out
+
+    yield keep
+    for made in _made[first:]:
+        if made not in kept:
+            _delete(*made)
+    _made[first:] = kept
+
+
+def written(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """df as a table in the shared folder: cuts lineage and outlives lost executors."""
     spark = df.sparkSession
     path = new_folder(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -70,13 +94,16 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-#: Rows of one or two numbers that a join may broadcast; beyond it both sides are shuffled.
-BROADCAST_ROWS = 500_000
+#: Rows and characters of texts that a join may broadcast; beyond them both sides are shuffled.
+BROADCAST_ROWS, BROADCAST_CHARS = 500_000, 32 << 20
 
 
 def small_side(df: DataFrame) -> DataFrame:
-    """A written table of slim rows, marked for broadcasting if it has at most BROADCAST_ROWS."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """A written table, marked for broadcasting if it has at most BROADCAST_ROWS rows and its texts, byte strings and arrays
+    at most BROADCAST_CHARS characters, bytes and 8-byte elements altogether."""
+    wide = [F.coalesce(F.length(c) if kind in ("string", "binary") else F.size(c) * 8, F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary") or kind.startswith("array")]
+    rows, chars = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(reduce(lambda a, b: a + b, wide, F.lit(0))), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and chars <= BROADCAST_CHARS else df
 
 
 #: Rows of an Arrow batch of whole texts; Spark's own number would hold tens of MB in the executor and again in its worker.
