@@ -7,18 +7,19 @@ size are paired, so that what one gains another of about its size loses. A leaf
 these are combined FAN at a time in the levels of a reduction tree, and a source's last one is decided by chance.
 
 A null text has size 0; a null source is a source of its own and the last. Sources of size 0 have target 0. Every row is
-mixed, repeated ones too, each with its own decision. Decisions depend on ids, sizes and a seed, not on partitions. Only
-the id, text and source columns are read, so other columns can't clash. An empty table gives no rows.
+mixed, repeated ones too, each with its own decision; they are numbered, so that many copies spread over the leaves.
+A null id is an id like others. Decisions depend on ids, sizes, numbers of copies and a seed, not on partitions. Only the
+id, text and source columns are read, so other columns can't clash. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, small_side, written
+from .common import dropping, numbered, small_side, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 LEAF, FAN = 2048, 64
@@ -43,6 +44,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: float
     return per.select("source", "no", "n", "source_size", F.least(most, F.col("weight") * factor).alias("target"))
 
 
+def source_targets(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """source, source_size, target."""
+    return targets(docs.select(F.col(source_col).alias("source"), words(text_col).alias("size")), weights, share, cap).select("source", "source_size", "target")
+
+
+def words(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("bigint")
+
+
 def pivot(fraction: list[float], rng: np.random.Generator) -> tuple[list[float], int]:
     """Rounds in the given order. Returns the fractions, of which at most one isn't whole, and that one's place or -1."""
     out, at = list(fraction), -1
@@ -72,25 +82,45 @@ _ROW = "no bigint, leaf bigint, doc_id bigint, size bigint, source_size bigint,
 
 
 def _rounded(rows: DataFrame, seed: int, level: int) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id", "fraction"], ascending=False, kind="stable")
-        rng = np.random.default_rng([seed, level, int(pdf["no"].iloc[0]), int(pdf["leaf"].iloc[0])])
-        done, _ = pivot(pdf["fraction"].tolist(), rng)
-        return pdf.assign(fraction=done)
-
-    return rows.groupBy("no", "leaf").applyInPandas(run, _ROW)
+    def run(leaf: pa.Table) -> pa.Table:
+        leaf = leaf.sort_by([("size", "descending"), ("doc_id", "descending"), ("fraction", "descending")])
+        rng = np.random.default_rng([seed, level, leaf["no"][0].as_py(), leaf["leaf"][0].as_py()])
+        done, _ = pivot(leaf["fraction"].to_pylist(), rng)
+        return leaf.set_column(leaf.column_names.index("fraction"), "fraction", pa.array(done, pa.float64()))
+
+    return rows.groupBy("no", "leaf").applyInArrow(run, _ROW)
+
+
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """Adds nth: 0 but for repeated rows, which are numbered: within each partition, after those of the partitions before."""
+    same = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", "size")
+    rows = rows.withColumn("same_", same)
+    often = written(rows.groupBy("same_").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("same_"), "repeated")
+    if often.isEmpty():
+        return rows.drop("same_").withColumn("nth", F.lit(0).cast("bigint"))
+    again = written(rows.join(small_side(often), "same_", "left_semi").withColumns({"part_": F.spark_partition_id(), "place_": F.monotonically_increasing_id()}), "copies")
+    before = F.coalesce(F.sum("n_").over(Window.partitionBy("same_").orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = again.groupBy("same_", "part_").agg(F.count(F.lit(1)).alias("n_")).select("same_", "part_", before.alias("before_"))
+    nth = F.row_number().over(Window.partitionBy("same_", "part_").orderBy("place_")) - 1
+    numbered_ = again.withColumn("nth", nth).join(first, ["same_", "part_"]).withColumn("nth", (F.col("nth") + F.col("before_")).cast("bigint"))
+    alone = rows.join(small_side(often), "same_", "left_anti").withColumn("nth", F.lit(0).cast("bigint"))
+    return alone.drop("same_").unionByName(numbered_.select("doc_id", "source", "size", "nth"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """For each row: doc_id, size, source_size, target, copies, taken."""
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("bigint")
-    rows = written(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")), "sizes")
+    with dropping(docs.sparkSession) as keep:
+        return keep(_mixed(docs, weights, share, cap, seed, id_col, text_col, source_col), "mixed")
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    rows = written(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).alias("source"), words(text_col).alias("size")), "sizes")
     per = written(targets(rows, weights, share, cap), "targets")
-    known = rows.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).drop("source")
+    known = _told_apart(rows).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).drop("source")
     of_source = small_side(per.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).drop("source"))
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = known.join(of_source, "key").withColumn("copies", copies)
-    leaf = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.ceil(F.col("n") / LEAF).cast("bigint"))
+    leaf = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), "size", "nth", F.lit(seed)), F.ceil(F.col("n") / LEAF).cast("bigint"))
     rows = rows.select("no", leaf.alias("leaf"), "doc_id", "size", "source_size", "target", F.floor("copies").cast("double").alias("whole"), (F.col("copies") - F.floor("copies")).alias("fraction"))
     most = per.agg(F.max("n")).first()[0] or 0
     leaves, level, undecided, parts = -(-most // LEAF), 0, (F.col("fraction") > 0) & (F.col("fraction") < 1), []
