@@ -8,14 +8,13 @@ no bucket with probability (1 - 0.8**4)**32 < 1e-7.
 Documents of one set are one class, represented by its least id. In each bucket only star-shaped edges, from the least
 representative to every other, become candidates, and each is confirmed on the full sets. A bucket in which this leaves
 more than one component is compared further: its members outside its largest component with all its members, in blocks
-of a bounded size and without emitting pairs. There the low bytes of the bins rule out what is far below the threshold
-(by more than four standard deviations); the rest is confirmed on full sets. So no link between documents that share a
-bucket is lost, and no bucket is capped.
+of a bounded number of members and shingles, on the full sets and without emitting pairs. Nothing is ruled out by an
+estimate there, so no link between documents that share a bucket is lost, and no bucket is capped.
 
 A null text counts as empty. A document without words has an empty set, is linked with nothing, and is its own component.
 Every row is returned, repeated ones too. Rows of one id are one document; should their texts differ, the one with the
-least digest stands for the document. Only the id and text columns are read, so other columns can't clash. Ids must be
-integers; rows whose id is null are dropped.
+least digest stands for the document. A row without an id is linked with nothing: it has no component and is kept. Only
+the id and text columns are read, so other columns can't clash. Ids must be integers. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,16 +25,17 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, make_room, small_side, text_batches, text_or_empty, written
+from .common import dropping, give_back, make_room, small_side, text_batches, text_or_empty, written
 from .components import components
 from .shingles import constants, mix, shingle_sets
 
 BINS, ROWS, BANDS = 128, 4, 32
-#: Members of a block of comparisons, and members that are confirmed against a star's centre in one task's group.
-BLOCK, STAR = 512, 256
+#: Members of a block of comparisons, members that are confirmed against a star's centre in one task's group, and shingles
+#: of either.
+BLOCK, STAR, SHINGLES = 256, 256, 1 << 19
 #: Hashes for which incidences are multiplied at once.
 COLUMNS = 2048
 _U = np.uint64
@@ -65,7 +65,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _described(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, text_hash, n, digest, bands, low for each row."""
+    """doc_id, text_hash, n, digest, bands for each row."""
     factor, band = constants(ROWS, 5), constants(BANDS, 6)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +75,6 @@ def _described(docs: DataFrame, k: int) -> DataFrame:
                 sets = shingle_sets(part.column(2).to_pylist(), k)
                 sig = signatures([s if len(s) else np.zeros(1, _U) for s in sets])
                 keys = mix((mix(sig).reshape(-1, BANDS, ROWS) * factor).sum(axis=2) + band).view(np.int64)
-                low = (mix(sig) & _U(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -83,14 +82,13 @@ def _described(docs: DataFrame, k: int) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.array(list(keys), pa.list_(pa.int64())),
-                        pa.array([r.tobytes() for r in low], pa.binary()),
                     ],
-                    names=["doc_id", "text_hash", "n", "digest", "bands", "low"],
+                    names=["doc_id", "text_hash", "n", "digest", "bands"],
                 )
                 give_back(part.nbytes)
         give_back()
 
-    return docs.mapInArrow(run, "doc_id bigint, text_hash bigint, n bigint, digest binary, bands array<bigint>, low binary")
+    return docs.mapInArrow(run, "doc_id bigint, text_hash bigint, n bigint, digest binary, bands array<bigint>")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -119,9 +117,14 @@ def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     return out
 
 
+def _parts(members: str, shingles: str, most: int) -> Column:
+    """Into how many groups so many members with so many shingles are dealt."""
+    return F.greatest(F.lit(1), F.ceil(F.col(members) / most), F.ceil(F.col(shingles) / SHINGLES)).cast("bigint")
+
+
 def _confirmed(edges: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the edges (a, b) those that hold on the full sets. An edge's group has one centre a and at most about STAR bs."""
-    fan = edges.groupBy("a").agg(F.count(F.lit(1)).alias("fan")).select("a", F.ceil(F.col("fan") / STAR).cast("bigint").alias("parts"))
+    """Of the edges (a, b, n) those that hold on the full sets; n: shingles of b. A group has one centre a and some bs."""
+    fan = edges.groupBy("a").agg(F.count(F.lit(1)).alias("fan"), F.sum("n").alias("n")).select("a", _parts("fan", "n", STAR).alias("parts"))
     fan = written(fan, "fans")
     members = edges.join(fan, "a").join(texts.select(F.col("doc_id").alias("b"), "text_"), "b").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("doc_id"), "text_")
     centres = fan.join(texts.select(F.col("doc_id").alias("a"), "text_"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.col("a").alias("doc_id"), "text_")
@@ -140,37 +143,22 @@ def _confirmed(edges: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """members: (bucket, doc_id, comp, ...). Adds block and seeker: in each block, the seekers have to be compared with all
-    rows of the block whose comp differs. Seekers are the members outside their bucket's largest component."""
-    size = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    most = size.groupBy("bucket").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.sum("n").alias("all"), F.max("n").alias("in_main"))
-    most = written(most.where("all > in_main").select("bucket", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("cols"), F.ceil((F.col("all") - F.col("in_main")) / BLOCK).cast("int").alias("rows")), "buckets")
+    """members: (bucket, doc_id, n, comp). Adds r, c and seeker: in each block (bucket, r, c) the seekers have to be compared
+    with all rows whose comp differs. Seekers are the members outside their bucket's largest component."""
+    size = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("shingles"))
+    main = F.max_by(F.struct("comp", "n", "shingles"), F.struct("n", -F.col("comp"))).alias("main")
+    most = size.groupBy("bucket").agg(main, F.sum("n").alias("all"), F.sum("shingles").alias("shingles")).where("all > main.n")
+    most = most.withColumns({"rest": F.col("all") - F.col("main.n"), "rest_shingles": F.col("shingles") - F.col("main.shingles")})
+    most = written(most.select("bucket", F.col("main.comp").alias("main"), _parts("all", "shingles", BLOCK).alias("cols"), _parts("rest", "rest_shingles", BLOCK).alias("rows")), "buckets")
     m = members.join(most, "bucket").withColumn("slot", F.xxhash64("doc_id"))
-    seek = m.where("comp <> main").select(*members.columns, F.pmod("slot", F.col("rows")).cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"), F.lit(True).alias("seeker"))
-    found = m.select(*members.columns, F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), F.pmod("slot", F.col("cols")).cast("int").alias("c"), F.lit(False).alias("seeker"))
+    to = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    own = ("bucket", "doc_id", "comp")
+    seek = m.where("comp <> main").select(*own, F.pmod("slot", F.col("rows")).alias("r"), to("cols").alias("c"), F.lit(True).alias("seeker"))
+    found = m.select(*own, to("rows").alias("r"), F.pmod("slot", F.col("cols")).alias("c"), F.lit(False).alias("seeker"))
     return seek.unionByName(found)
 
 
-def _promising(blocks: DataFrame, percent: int) -> DataFrame:
-    """The rows (bucket, r, c, doc_id, comp, seeker) that have a counterpart whose bins don't rule a link out."""
-    p = percent / 100
-    least = BINS * (p - 4 * (p * (1 - p) / BINS) ** 0.5)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        low = np.frombuffer(b"".join(pdf["low"]), np.uint8).reshape(-1, BINS)
-        comp, seeker = pdf["comp"].to_numpy(), pdf["seeker"].to_numpy()
-        keep, others = np.zeros(len(pdf), dtype=bool), np.flatnonzero(~seeker)
-        for i in np.flatnonzero(seeker):
-            hit = others[((low[others] == low[i]).sum(axis=1) >= least) & (comp[others] != comp[i])]
-            keep[hit] = True
-            keep[i] = len(hit) > 0
-        give_back(low.nbytes)
-        return pdf.loc[keep, ["bucket", "r", "c", "doc_id", "comp", "seeker"]]
-
-    return blocks.groupBy("bucket", "r", "c").applyInPandas(run, "bucket bigint, r int, c int, doc_id bigint, comp bigint, seeker boolean")
-
-
-def _rest_links(kept: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _rest_links(blocks: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between seekers and others of a block; of the links that join the same components one is enough."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -196,25 +184,32 @@ def _rest_links(kept: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
         give_back(8 * int(size.sum()))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return kept.join(texts, "doc_id").groupBy("bucket", "r", "c").applyInPandas(run, "a bigint, b bigint")
+    return blocks.join(texts, "doc_id").groupBy("bucket", "r", "c").applyInPandas(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: doc_id, n_shingles, component_id (the least id that links lead to), kept (whether it is that id)."""
     text_batches(docs.sparkSession)
+    with dropping(docs.sparkSession) as keep:
+        return keep(_near_duplicates(docs, k, percent, id_col, text_col), "near_duplicates")
+
+
+def _near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     text = text_or_empty(text_col)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text_")).where("doc_id is not null")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text_"))
     rows = written(_described(texts, k), "signatures")
+    nameless = rows.where("doc_id is null")
+    rows, texts = rows.where("doc_id is not null"), texts.where("doc_id is not null")
     mine = F.struct("digest", "text_hash")
     split = written(rows.groupBy("doc_id").agg(F.min(mine).alias("own"), F.max(mine).alias("other")).where("own <> other").select("doc_id", "own"), "split_ids")
     one = rows.join(split, "doc_id", "left")
     some = one.where("n > 0 and (own is null or own = struct(digest, text_hash))")
     rep = F.struct("doc_id", "text_hash")
-    classes = written(some.groupBy("digest").agg(F.min(rep).alias("rep"), F.min_by("bands", rep).alias("bands"), F.min_by("low", rep).alias("low")).select("digest", "rep.*", "bands", "low"), "classes")
-    keyed = classes.select("doc_id", F.explode("bands").alias("bucket"))
+    classes = written(some.groupBy("digest").agg(F.min(rep).alias("rep"), F.min_by("bands", rep).alias("bands"), F.max("n").alias("n")).select("digest", "rep.*", "bands", "n"), "classes")
+    keyed = classes.select("doc_id", "n", F.explode("bands").alias("bucket"))
     centres = written(keyed.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("size"), F.sum(F.shiftright(F.xxhash64("doc_id"), 16)).alias("who")).where("size > 1"), "centres")
-    shared = written(keyed.join(centres, "bucket").select("bucket", "centre", "doc_id", "size", "who"), "shared_buckets")
-    edges = written(shared.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
+    shared = written(keyed.join(centres, "bucket").select("bucket", "centre", "doc_id", "n", "size", "who"), "shared_buckets")
+    edges = written(shared.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"), "n").distinct(), "stars")
     need = written(edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
     found = texts.join(small_side(need), "doc_id", "left_semi").join(classes.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_semi")
     found = written(found.dropDuplicates(["doc_id"]).select("doc_id", "text_"), "candidate_texts")
@@ -223,14 +218,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     # Buckets of the same members are compared once.
     once = shared.where("doc_id = centre").groupBy("size", "who", "centre").agg(F.min("bucket").alias("bucket")).select("bucket")
     comp = first.select(F.col("node").alias("doc_id"), "component")
-    members = written(shared.join(once, "bucket", "left_semi").join(comp, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("comp")), "members")
+    members = written(shared.join(once, "bucket", "left_semi").join(comp, "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp")), "members")
     mixed = written(members.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("bucket"), "mixed")
-    open_ones = members.join(mixed, "bucket", "left_semi").join(classes.select("doc_id", "low"), "doc_id")
-    kept = written(_promising(_blocks(written(open_ones, "open")), percent), "promising")
-    more = written(_rest_links(kept, found, k, percent), "rest")
+    blocks = written(_blocks(written(members.join(mixed, "bucket", "left_semi"), "open")), "blocks")
+    more = written(_rest_links(blocks, found, k, percent), "rest")
     final = first if more.isEmpty() else components(stars.unionByName(more))
     of_class = classes.select("digest", "doc_id").join(final.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("component"))
     own_digest = F.when(F.col("n") > 0, F.coalesce("own.digest", "digest"))
     out = one.select("doc_id", "n", own_digest.alias("digest")).join(written(of_class, "class_components"), "digest", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    return out.unionByName(nameless.select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"), F.lit(True).alias("kept")))
