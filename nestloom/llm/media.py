@@ -3,7 +3,10 @@
 One pass of an Aho-Corasick automaton finds the magic bytes of all formats; a validator for each format then walks the
 structure from there (chunks, blocks, boxes, checksums) and gives the length, or refuses. What starts at the first byte
 and is confirmed corrects the declared type; what is confirmed inside is carved out: the first of overlapping ones wins,
-and nothing inside a carved piece is carved again. Magic bytes alone, as they occur in any text, change nothing.
+and nothing inside a carved piece is carved again. Magic bytes alone, as they occur in any text, change nothing. What
+validators look for far ahead is located once for a value, so many magic bytes in a long value stay cheap.
+
+Texts are stored as sounds in a table of media, which is written and read again before features are computed.
 
 A null or empty value has type null and nothing inside. Rows are independent, so ties, repeated rows and empty tables need
 nothing special. Only the id, value and declared columns are read, so other columns can't clash.
@@ -13,8 +16,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -24,14 +29,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_batches, text_or_empty, written
 
 #: Bytes to a multiple of which a stored text is filled up, and the filling.
 UNIT, FILL = 576, b"\xff"
 RATE = 8000
 
 
-def _png(b: memoryview, at: int) -> int | None:
+class Places:
+    """Where patterns stand in a value, each searched once."""
+
+    def __init__(self, value: bytes) -> None:
+        self.value = value
+        self._found: dict[bytes, list[int]] = {}
+        self._archives: dict[int, int] | None = None
+
+    def all(self, pattern: bytes) -> list[int]:
+        if pattern not in self._found:
+            self._found[pattern] = [m.start() for m in re.finditer(pattern, self.value, re.S)]
+        return self._found[pattern]
+
+    def next(self, pattern: bytes, at: int) -> int:
+        """The first place from `at` on, or -1."""
+        found = self.all(pattern)
+        i = bisect_left(found, at)
+        return found[i] if i < len(found) else -1
+
+    def archives(self) -> dict[int, int]:
+        """Ends of zip archives by their starts, which the end records tell; of several ends the first."""
+        if self._archives is None:
+            self._archives = {}
+            for end in self.all(rb"PK\x05\x06"):
+                if end + 22 <= len(self.value):
+                    entries, size, offset, note = struct.unpack_from("<HIIH", self.value, end + 10)
+                    start = end - offset - size
+                    if start >= 0 and entries and self.value[start + offset : start + offset + 4] == b"PK\x01\x02" and end + 22 + note <= len(self.value):
+                        self._archives.setdefault(start, end + 22 + note)
+        return self._archives
+
+
+def _png(b: memoryview, at: int, places: Places) -> int | None:
     pos = at + 8
     first = True
     while pos + 12 <= len(b):
@@ -44,7 +81,7 @@ def _png(b: memoryview, at: int) -> int | None:
     return None
 
 
-def _gif(b: memoryview, at: int) -> int | None:
+def _gif(b: memoryview, at: int, places: Places) -> int | None:
     def table(flags: int) -> int:
         return 3 << ((flags & 7) + 1) if flags & 0x80 else 0
 
@@ -72,7 +109,7 @@ def _gif(b: memoryview, at: int) -> int | None:
     return None
 
 
-def _jpeg(b: memoryview, at: int) -> int | None:
+def _jpeg(b: memoryview, at: int, places: Places) -> int | None:
     pos, frame = at + 2, False
     while pos + 4 <= len(b) and b[pos] == 0xFF:
         kind = b[pos + 1]
@@ -84,23 +121,15 @@ def _jpeg(b: memoryview, at: int) -> int | None:
             return None
         frame |= 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC)
         pos += 2 + size
-        if kind == 0xDA:
-            data = bytes(b[pos:])
-            end = 0
-            while (end := data.find(b"\xff", end)) >= 0 and end + 1 < len(data):
-                if data[end + 1] == 0xD9:
-                    return pos + end + 2 - at if frame else None
-                if data[end + 1] == 0 or 0xD0 <= data[end + 1] <= 0xD7:
-                    end += 2
-                    continue
-                break
-            if end < 0 or end + 1 >= len(data):
+        if kind == 0xDA:  # coded data goes on to the next marker that is neither stuffed nor a restart
+            if (pos := places.next(rb"\xff(?=[^\x00\xd0-\xd7])", pos)) < 0:
                 return None
-            pos += end
+            if b[pos + 1] == 0xD9:
+                return pos + 2 - at if frame else None
     return None
 
 
-def _riff(b: memoryview, at: int) -> int | None:
+def _riff(b: memoryview, at: int, places: Places) -> int | None:
     if at + 12 > len(b):
         return None
     size, kind = struct.unpack_from("<I4s", b, at + 4)
@@ -116,7 +145,7 @@ def _riff(b: memoryview, at: int) -> int | None:
     return end - at if ok and pos in (end, end + 1) else None
 
 
-def _bmp(b: memoryview, at: int) -> int | None:
+def _bmp(b: memoryview, at: int, places: Places) -> int | None:
     if at + 54 > len(b):
         return None
     size, _, offset, head, width, height, planes, depth = struct.unpack_from("<IIIIiiHH", b, at + 2)
@@ -126,30 +155,21 @@ def _bmp(b: memoryview, at: int) -> int | None:
     return size if offset >= 14 + head and offset + rows <= size <= len(b) - at else None
 
 
-def _pdf(b: memoryview, at: int) -> int | None:
-    data = bytes(b[at:])
-    if not (data[5:6].isdigit() and data[6:7] == b"."):
+def _pdf(b: memoryview, at: int, places: Places) -> int | None:
+    if not re.match(rb"[0-9]\.", b[at + 5 : at + 7]):
         return None
-    start = data.find(b"startxref")
-    end = data.find(b"%%EOF", start)
-    if start < 0 or end < 0 or b"endobj" not in data[:start]:
+    start = places.next(b"startxref", at)
+    end = places.next(b"%%EOF", start)
+    if start < 0 or end < 0 or not 0 <= places.next(b"endobj", at) < start:
         return None
-    return end + 5
+    return end + 5 - at
 
 
-def _zip(b: memoryview, at: int) -> int | None:
-    data = bytes(b[at:])
-    end = -1
-    while (end := data.find(b"PK\x05\x06", end + 1)) >= 0:
-        if end + 22 > len(data):
-            return None
-        entries, size, offset, note = struct.unpack_from("<HIIH", data, end + 10)
-        if offset + size == end and entries and data[offset : offset + 4] == b"PK\x01\x02" and end + 22 + note <= len(data):
-            return end + 22 + note
-    return None
+def _zip(b: memoryview, at: int, places: Places) -> int | None:
+    return places.archives().get(at, at) - at or None
 
 
-def _ogg(b: memoryview, at: int) -> int | None:
+def _ogg(b: memoryview, at: int, places: Places) -> int | None:
     pos, pages = at, 0
     while pos + 27 <= len(b) and b[pos : pos + 4] == b"OggS":
         n = b[pos + 26]
@@ -165,7 +185,7 @@ def _ogg(b: memoryview, at: int) -> int | None:
     return pos - at if pages > 1 else None
 
 
-def _gzip(b: memoryview, at: int) -> int | None:
+def _gzip(b: memoryview, at: int, places: Places) -> int | None:
     z = zlib.decompressobj(31)
     try:
         pos = at
@@ -180,7 +200,7 @@ def _gzip(b: memoryview, at: int) -> int | None:
 
 
 #: Magic bytes, the type they stand for, and what confirms it.
-FORMATS: list[tuple[bytes, str, Callable[[memoryview, int], int | None]]] = [
+FORMATS: list[tuple[bytes, str, Callable[[memoryview, int, Places], int | None]]] = [
     (b"\x89PNG\r\n\x1a\n", "image/png", _png),
     (b"GIF87a", "image/gif", _gif),
     (b"GIF89a", "image/gif", _gif),
@@ -212,11 +232,11 @@ class Found:
 
 def sniff(value: bytes) -> tuple[Found | None, list[Found]]:
     """What the value is, and what is embedded in it."""
-    view, whole, inside, free = memoryview(value), None, [], 0
+    view, places, whole, inside, free = memoryview(value), Places(value), None, [], 0
     for end, i in _magic().iter(value.decode("latin-1")):
         magic, kind, confirm = FORMATS[i]
         at = end + 1 - len(magic)
-        if at < free or not (size := confirm(view, at)):
+        if at < free or not (size := confirm(view, at, places)):
             continue
         if kind == "riff":
             kind = "audio/wav" if value[at + 8 : at + 12] == b"WAVE" else "image/webp"
@@ -270,7 +290,9 @@ def samples_of(media: bytes) -> bytes:
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, media: each text's bytes, filled up, as the samples of a sound; its declared type tells nothing."""
+    """id, n_bytes, media, declared, as a written table: each text's bytes, filled up, as the samples of a sound; the declared
+    type tells nothing."""
+    text_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +302,8 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 media = [wav(t + FILL * (max(UNIT, -(-len(t) // UNIT) * UNIT) - len(t))) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary())], names=[id_col, "n_bytes", "media"])
 
-    return docs.select(F.col(id_col), text_or_empty(text_col).alias("text_")).mapInArrow(run, f"{id_col} {id_type}, n_bytes bigint, media binary").withColumn("declared", F.lit("application/octet-stream"))
+    media = docs.select(F.col(id_col), text_or_empty(text_col).alias("text_")).mapInArrow(run, f"{id_col} {id_type}, n_bytes bigint, media binary")
+    return written(media.withColumn("declared", F.lit("application/octet-stream")), "media", "zstd")
 
 
 def media_features(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
