@@ -3,7 +3,8 @@
 A file starts with a skippable frame that holds the dictionary, itself compressed or not; each record after it is a frame of
 its own. The dictionary is trained on a bounded sample of payloads and is at most DICTIONARY bytes. Readers load the
 dictionary from the file, decode a frame at a time and check each record: version, mandatory fields, the length of the
-block, the end marks, and the payload's length and digest.
+block, the end marks, and the payload's length and digest. A task writes files under names of its attempt and returns them
+in its result; only these are read, so a repeated or lost attempt neither doubles nor loses records.
 
 Of equal payloads of at least `least` bytes the one with the largest id is stored; others become revisit records with the
 same head but no payload. A null html is an empty payload. Repeated rows with the largest id are stored each. A null id is
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_files, file_folder, put_file, small_side, text_or_empty, written
+from .common import binary_files, file_folder, put_file, small_side, text_batches, text_or_empty, written
 
 DICTIONARY, SAMPLES, SAMPLE_CHARS = 32 << 10, 300, 50_000
 FILE_BYTES = 8 << 20
@@ -66,10 +68,11 @@ def _loaded(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-def write_archives(pages: DataFrame, least: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2025-01-01T00:00:00Z") -> str:
-    """Returns the folder of the archives."""
+def write_archives(pages: DataFrame, least: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2025-01-01T00:00:00Z") -> tuple[str, DataFrame]:
+    """Returns the folder of the archives, and their names and numbers of records."""
     spark = pages.sparkSession
     html = text_or_empty(html_col)
+    text_batches(spark)
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html).alias("digest"))
     long = rows.where(F.octet_length("html") >= least)
     kept = written(long.groupBy("digest").agg(F.max("page_id").alias("stored"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "stored")
@@ -81,7 +84,14 @@ def write_archives(pages: DataFrame, least: int = 1000, id_col: str = "page_id",
         packed = zstandard.ZstdCompressor(level=9).compress(raw)
         start = struct.pack("<II", SKIPPABLE, len(packed)) + packed
         z = zstandard.ZstdCompressor(level=3, dict_data=_loaded(raw), write_checksum=True)
-        out, size, files, n = [start], 0, 0, 0
+        out, size, n, made = [start], 0, 0, []
+
+        def close() -> None:
+            nonlocal out, size, n
+            made.append((f"{part:06d}-{len(made):05d}-{uuid.uuid4().hex}.warc.zst", n))
+            put_file(folder, made[-1][0], b"".join(out))
+            out, size, n = [start], 0, 0
+
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 for page, url, text, digest, refers in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns), strict=True):
@@ -89,15 +99,12 @@ def write_archives(pages: DataFrame, least: int = 1000, id_col: str = "page_id",
                     size += len(out[-1])
                     n += 1
                     if size >= FILE_BYTES:
-                        put_file(folder, f"{part:06d}-{files:05d}.warc.zst", b"".join(out))
-                        out, size, files = [start], 0, files + 1
+                        close()
         if size:
-            put_file(folder, f"{part:06d}-{files:05d}.warc.zst", b"".join(out))
-            files += 1
-        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64()), pa.array([n], pa.int64())], names=["files", "n"])
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in made], pa.string()), pa.array([x for _, x in made], pa.int64())], names=["name", "n"])
 
-    rows.mapInArrow(run, "files bigint, n bigint").agg(F.sum("n")).collect()
-    return folder
+    return folder, written(rows.mapInArrow(run, "name string, n bigint"), "archives")
 
 
 def records(data: bytes) -> Iterator[bytes]:
@@ -150,19 +157,20 @@ def parsed(data: bytes) -> tuple[int | None, int, str, str, int | None, bytes]:
     return _id(fields["warc-record-id"]), told, digest, kind, _id(fields["warc-refers-to"]) if kind == "revisit" else None, payload
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """For each record: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+def read_archives(spark: SparkSession, folder: str, archives: DataFrame) -> DataFrame:
+    """For each record of the archives named: page_id, payload_bytes, payload_digest, record_type, refers_to."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(1):
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows = [parsed(r)[:5] for r in records(content.as_py())]
                 cols = list(zip(*rows, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([path.rpartition("/")[2]] * len(rows), pa.string()), *arrays], names=["name", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return binary_files(spark, folder, ".warc.zst").mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    found = binary_files(spark, folder, ".warc.zst").mapInArrow(run, "name string, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    return found.join(small_side(archives.select("name")), "name", "left_semi").drop("name")
 
 
 def archive_pages(pages: DataFrame, least: int = 1000) -> DataFrame:
-    folder = write_archives(pages, least)
-    return read_archives(pages.sparkSession, folder)
+    return read_archives(pages.sparkSession, *write_archives(pages, least))
