@@ -9,12 +9,14 @@ so the second goes up to the longest prefix at which a vector as near as that bo
 probability of at most MISS. This rule knows neither the number of vectors nor their length. Where even the widest
 intervals of all trees hold more strings than one whole tree, the query is compared with one whole tree, so with all.
 
-The arrays are dealt out as runs of the sorted order of (tree, string), about SEGMENT strings to a run. A query goes to
-every run that its interval meets, so nothing is lost at the ends of runs. Found vectors are compared exactly, in double
-precision. Equal vectors are one class, searched once and represented by their least ids.
-
-Vectors that are null, zero, empty or hold a null or a non-finite component take no part; vectors of other lengths are in
-trees of their own. Repeated ids count once for each different vector. Ties go to the smaller id. Fewer candidates than k
+The arrays are dealt out as runs of the sorted order of (tree, string), about SEGMENT strings to a run; where many strings
+are equal, so that several runs start with one, they are dealt to these runs by id. A query goes to every run that its
+interval meets, so nothing is lost at the ends of runs. Found vectors are compared exactly, in double precision and each
+pair by itself, so that a score doesn't depend on what else is in a run. Equal vectors are one class, searched once and
+represented by their least ids.
+
+Rows without an id and vectors that are null, zero, empty or hold a null or a non-finite component take no part; vectors of
+other lengths are in trees of their own. Repeated ids count once for each different vector. Ties go to the smaller id. Fewer candidates than k
 give as many results. Only the id and vector columns are read. An empty table gives no rows.
 """
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropping, written
 
 TREES, BITS, SEGMENT, SALT = 24, 64, 1 << 15, 16
 #: Trees and strings of the first step, and the probability with which the second may miss a neighbour.
@@ -64,7 +66,7 @@ def _strings(classes: DataFrame, every: int) -> DataFrame:
                 codes: list[np.ndarray] = [np.empty(0)] * len(vectors)
                 sizes = np.array([len(v) for v in vectors])
                 for n in set(sizes.tolist()):
-                    p = planes.setdefault(n, _directions(n)) if n in planes else planes.setdefault(n, _directions(n))
+                    p = planes[n] if n in planes else planes.setdefault(n, _directions(n))
                     at = np.flatnonzero(sizes == n)
                     bits = np.array([vectors[i] for i in at], dtype=np.float32) @ p > 0
                     packed = np.packbits(bits.reshape(len(at), TREES, BITS), axis=2).view(">u8")[..., 0].astype(np.uint64)
@@ -113,11 +115,11 @@ def _ascents(strings: DataFrame, parts: int, wanted: int) -> tuple[DataFrame, di
             yield pa.RecordBatch.from_arrays([pa.array(rows["rep"].to_numpy()[at], pa.int64()), pa.array(list(counts), pa.list_(pa.int64())), *(pa.nulls(len(at), t) for t in (pa.int32(), pa.int32(), pa.int64()))], names=names)
 
     slim = strings.select("rep", "size", "query", F.posexplode("codes").alias("tree", "code"))
-    counted = written(slim.repartitionByRange(parts, "size", "tree", "code").mapInArrow(run, "rep bigint, counts array<bigint>, size int, tree int, bound bigint"), "counted")
+    counted = written(slim.repartitionByRange(parts, "size", "tree", "code", "rep").mapInArrow(run, "rep bigint, counts array<bigint>, size int, tree int, bound bigint"), "counted")
     total = counted.where("rep is not null").groupBy("rep").agg(*[F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(BITS + 1)])
     bits = F.coalesce(*[F.when(F.col(f"c{i}") >= wanted, F.lit(i)) for i in range(BITS, -1, -1)], F.lit(0))
     starts: dict[tuple[int, int], list[int]] = {}
-    for r in counted.where("rep is null").select("size", "tree", "bound").distinct().orderBy("size", "tree", "bound").toLocalIterator():
+    for r in counted.where("rep is null").select("size", "tree", "bound").orderBy("size", "tree", "bound").toLocalIterator():
         starts.setdefault((r.size, r.tree), []).append(r.bound)
     runs, first = {}, 0
     for key, of in starts.items():
@@ -144,6 +146,7 @@ def _deal(strings: DataFrame, runs: dict[tuple[int, int], tuple[int, np.ndarray]
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
                 sizes, bits = part.column(1).to_numpy(zero_copy_only=False), np.array([-1 if b is None else b for b in part.column(2).to_pylist()])
+                reps = part.column(0).to_numpy()
                 codes = part.column(4).flatten().to_numpy().reshape(-1, TREES)
                 got: list[tuple[np.ndarray, ...]] = []
                 for size in set(sizes.tolist()):
@@ -151,13 +154,16 @@ def _deal(strings: DataFrame, runs: dict[tuple[int, int], tuple[int, np.ndarray]
                     for tree in range(trees):
                         first, bounds = shared.value[(size, tree)]
                         c = codes[at, tree]
-                        got.append((first + np.searchsorted(bounds, c, "right") - 1, np.zeros(len(at), bool), at, c, c))
+                        from_, until = np.searchsorted(bounds, c, "left"), np.searchsorted(bounds, c, "right")
+                        own = np.where(until > from_, from_ + reps[at] % np.maximum(until - from_, 1), until - 1)
+                        got.append((first + own, np.zeros(len(at), bool), at, c, c))
                         who = at[(bits[at] > 0) | (bits[at] == 0) & (tree == 0)]
                         n = bits[who]
                         low = np.where(n == 0, np.uint64(0), (u := codes[who, tree].view(np.uint64) ^ _SIGN) >> (64 - np.maximum(n, 1)).astype(np.uint64) << (64 - np.maximum(n, 1)).astype(np.uint64))
                         high = np.where(n == 0, ~np.uint64(0), low | ((np.uint64(1) << (64 - np.maximum(n, 1)).astype(np.uint64)) - np.uint64(1)))
                         lo, hi = (low ^ _SIGN).view(np.int64), (high ^ _SIGN).view(np.int64)
-                        a, b = np.maximum(np.searchsorted(bounds, lo, "right") - 1, 0), np.searchsorted(bounds, hi, "right")
+                        a, b = np.searchsorted(bounds, lo, "left"), np.searchsorted(bounds, hi, "right")
+                        a = np.maximum(np.where(np.searchsorted(bounds, lo, "right") > a, a, a - 1), 0)
                         times = b - a
                         inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                         got.append((first + np.repeat(a, times) + inside, np.ones(len(inside), bool), *(np.repeat(x, times) for x in (who, lo, hi))))
@@ -204,7 +210,7 @@ def _search(strings: DataFrame, runs: dict[tuple[int, int], tuple[int, np.ndarra
                 for rep, x, i, j in zip(mine, vectors, lo.tolist(), hi.tolist(), strict=True):
                     if i == j:
                         continue
-                    score = (v[i:j] @ x) / (norm[i:j] * np.sqrt(x @ x))
+                    score = np.einsum("ij,j->i", v[i:j], x) / (norm[i:j] * np.sqrt(np.einsum("i,i->", x, x)))
                     t = np.arange(j - i) if j - i <= 4 * k else np.flatnonzero(score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1])
                     best = t[np.lexsort((reps[i:j][t], -score[t]))][: k + 1]
                     q.append(np.full(len(best), rep))
@@ -221,6 +227,11 @@ def _search(strings: DataFrame, runs: dict[tuple[int, int], tuple[int, np.ndarra
 
 def nearest(rows: DataFrame, k: int = 5, every: int = 50, start: int = START, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for each id divisible by `every`."""
+    with dropping(rows.sparkSession) as keep:
+        return keep(_nearest(rows, k, every, start, id_col, vector_col), "nearest")
+
+
+def _nearest(rows: DataFrame, k: int, every: int, start: int, id_col: str, vector_col: str) -> DataFrame:
     base = rows.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).alias("vector")).where(F.col("vec_id").isNotNull() & valid(F.col("vector")))
     classes = written(_classes(base, k), "classes")
     own = written(base.where(F.col("vec_id") % every == 0).distinct().join(classes.select("rep", "vector"), "vector").select(F.col("vec_id").alias("query_id"), "rep"), "queries")
