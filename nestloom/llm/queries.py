@@ -60,9 +60,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), vocab.path(PIECE_BPE), TOKEN_LIMIT)
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6 aims at: size and target of each source."""
+    found = mixing.source_targets(table(spark, sf_dir, "documents"))
+    return found.select("source", "source_size", F.round("target", 3).alias("target"))
+
+
+_OPERATORS = (op1_language_id, language_id_pages, op2_byte_bpe, op3_media_columns, op4_token_files, op5_html_text, op6_source_mixing, mixing_targets, op7_minhash_dedup, op8_nearest_neighbours, op9_warc, op10_token_counts)
+#: Least common share of the targets: the largest that any number of sources, capped in the order of cap to weight, leaves.
+_TARGETS = r"""WITH s AS (SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS source_size FROM documents GROUP BY source),
+w AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS most FROM s),
+c AS (SELECT *, sum(most) OVER before AS used, sum(weight) OVER () - sum(weight) OVER before + weight AS rest, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM w WINDOW before AS (ORDER BY most / weight, source ROWS UNBOUNDED PRECEDING))
+SELECT source, source_size, round(least(most, weight * max((total - used + most) / rest) OVER ()), 3) AS target FROM c"""
+_ARCHIVE = """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), g AS (SELECT *, strlen(html) AS payload_bytes, max(page_id) OVER (PARTITION BY html) AS last FROM p),
+k AS (SELECT *, payload_bytes >= 1000 AND last IS NOT NULL AND (page_id IS NULL OR page_id < last) AS again FROM g)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to FROM k"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, language_id_pages, op2_byte_bpe, op3_media_columns, op4_token_files, op5_html_text, op6_source_mixing, op7_minhash_dedup, op8_nearest_neighbours, op9_warc, op10_token_counts)}
+    return {f.__name__: f for f in _OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"mixing_targets": _TARGETS, "op9_warc": _ARCHIVE}

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
-from .common import text_or_empty
+from .common import give_back, holds, make_room, text_batches, text_or_empty
 from .word_cache import WordCache
 
 #: Entries of the broadcast table, rows of the sample that ranks them, and longest sampled text, in characters.
@@ -66,12 +66,15 @@ def frequent_table(docs: DataFrame, file: str, text_col: str) -> tuple[str, byte
 
 def count_tokens(docs: DataFrame, file: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: the id, n_bytes, n_tokens, over_limit."""
+    text_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(frequent_table(docs, file, text_col))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(__name__)
         lengths = _lengths(file, shared)
         for batch in batches:
+            give_back(batch.nbytes)
             n = [x for i in range(0, batch.num_rows, 512) for x in lengths.count_many(batch.column(1).slice(i, 512).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
 
@@ -85,6 +88,9 @@ def _table(file: str, key: int, words: str, lengths: bytes) -> Lengths:
     return Lengths(file, dict(zip(words.split("\n"), np.frombuffer(lengths, "<u2").tolist(), strict=True)) if words else {})
 
 
+holds(__name__, _table.cache_clear)
+
+
 def _lengths(file: str, shared) -> Lengths:
     words, lengths = shared.value
     return _table(file, hash(words), words, lengths)
