@@ -1,11 +1,14 @@
 """Language ID, mixing, near-duplicates, neighbours, pages and archives against brute force."""
 
 import hashlib
+import math
 import random
 import re
+import shutil
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nestloom.llm import ann, components, html_text, langid, mixing, near_dedup, shingles, warc
 
@@ -39,6 +42,68 @@ def test_evidence_is_fused(spark):
     assert langid.identify_documents(d.limit(0)).count() == 0
 
 
+def fused(rows, model):
+    """The fusion by loops, for rows (text, declared, address, host): language, confidence."""
+    means, n = model.means([t or "" for t, *_ in rows])
+    scores = means * np.minimum(n, langid.TEMPER)[:, None]
+    labels, letters = model.labels, [any(c.isalpha() for c in t or "") for t, *_ in rows]
+    first, doubt = [s.argmax() for s in scores], {}
+    for k in (1, 2):
+        seen = [labels[f] == r[k] for r, f, ok in zip(rows, first, letters, strict=True) if ok and r[k] in labels]
+        doubt[k] = min(0.5, max(0.01, (seen.count(False) + 1) / (len(seen) + 10)))
+    evidence = []
+    for r, s in zip(rows, scores, strict=True):
+        e = list(s)
+        for k in (1, 2):
+            if r[k] in labels:
+                e = [x + (math.log(1 - doubt[k]) if labels[i] == r[k] else math.log(doubt[k] / max(1, len(labels) - 1))) for i, x in enumerate(e)]
+        evidence.append(e)
+    of_host, of_domain, total = {}, {}, np.ones(len(labels))
+    known = model.known(means, n)
+    for r, e, ok in zip(rows, evidence, letters & known, strict=True):
+        if ok and r[3]:
+            one = np.eye(len(labels))[int(np.argmax(e))]
+            of_host[r[3]] = of_host.get(r[3], 0) + one
+            domain = ".".join(r[3].split(".")[-2:])
+            of_domain[domain] = of_domain.get(domain, 0) + one
+            total = total + one
+    total, b = total / total.sum(), langid.BORROW
+    out = []
+    for r, e in zip(rows, evidence, strict=True):
+        e = np.array(e)
+        if r[3] in of_host:
+            d = of_domain[".".join(r[3].split(".")[-2:])]
+            h = of_host[r[3]]
+            e = e + np.log((h + b * (d + b * total) / (d.sum() + b)) / (h.sum() + b))
+        p = np.exp(e - e.max())
+        out.append((labels[int(e.argmax())], 1 / p.sum()))
+    return out
+
+
+def test_fusion_is_brute_forces(spark):
+    d = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = langid.fit(d.selectExpr("lang as label", "text"))
+    texts = [r.text for r in d.where("text is not null").orderBy("doc_id").limit(60).collect()]
+    r = random.Random(4)
+    rows = [(t[: r.choice([3, 8, 20, 400])], r.choice([None, "en", "de", "xx"]), r.choice([None, "en", "fr"]), r.choice([None, "", "a.x.org", "b.x.org", "c.net"])) for t in texts * 3] + [(None, "en", "en", "a.x.org"), ("12 34", "en", None, "c.net")]
+    frame = spark.createDataFrame([(i, *x, "clash") for i, x in enumerate(rows)], "id int, t string, lang string, address string, host string, confidence string")
+    got = {x.id: x for x in langid.identify(frame, model, "id", F.col("t"), F.col("lang"), F.col("address"), F.col("host")).collect()}
+    for i, (lang, confidence) in enumerate(fused(rows, model)):
+        assert got[i].lang == lang and got[i].confidence == pytest.approx(confidence, rel=1e-4), rows[i]
+
+
+def test_unknown_languages_are_rejected(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(d.where("doc_id % 2 = 0").selectExpr("lang as label", "text"))
+    other = ["Все люди рождаются свободными и равными в своем достоинстве и правах. " * 5, "人人生而自由在尊严和权利上一律平等他们赋有理性和良心" * 9, "Wszyscy ludzie rodzą się wolni i równi w swojej godności i w swoich prawach. " * 4, "0xdeadbeef 7f3a9c 9b1e00 4c4c4c e2e2e2 a0b1c2d3 " * 8]
+    assert not model.known(*model.means(other)).any()
+    held = [r.text for r in d.where("doc_id % 2 = 1 and length(text) > 0").collect()]
+    assert model.known(*model.means(held)).mean() > 0.995
+    frame = spark.createDataFrame([(i, t, "en", None, 0) for i, t in enumerate(other)] + [(9, held[0] * 40, None, None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.id: r.kept for r in langid.identify(frame.withColumnRenamed("doc_id", "id"), model, "id", F.col("text"), F.col("lang"), F.lit(None).cast("string"), F.col("source")).collect()}
+    assert got == {0: False, 1: False, 2: False, 3: False, 9: True}
+
+
 def test_pages_use_markup_address_and_host(spark):
     d = spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("lang as label", "text")
     model = langid.fit(d)
@@ -90,6 +155,23 @@ def test_mix_reaches_targets_and_reruns_agree(spark):
     assert mixing.mix_sources(d.limit(0)).count() == 0
 
 
+def test_mix_of_copies_and_null_ids(spark):
+    rows = [(5, "one row often", "en", "a")] * 5000 + [(None, "no id here", "en", "a"), (2**53 + 1, "an id of many digits", "en", "a"), (None, None, None, None)]
+    rows += [(100 + i, "x y z " * (1 + i % 5), "en", "b" if i % 3 else None) for i in range(3000)]
+    d = docs(spark, rows)
+    got = mixing.mix_sources(d).collect()
+    key = lambda x: tuple((v is None, v or 0) for v in x)
+    assert sorted(map(tuple, got), key=key) == sorted(map(tuple, mixing.mix_sources(d.repartition(5)).collect()), key=key)
+    assert {x.doc_id for x in got} == {i for i, *_ in rows} and len(got) == len(rows)
+    taken = {}
+    for x in got:
+        taken.setdefault((x.source_size, x.target), []).append(x.taken)
+    for (_, target), t in taken.items():
+        assert abs(sum(t) - target) <= max(0.02 * target, 40)
+    leaves = mixing._told_apart(d.select("doc_id", "source", F.lit(3).cast("bigint").alias("size")))
+    assert leaves.where("doc_id = 5").agg(F.count_distinct("nth"), F.max("nth")).collect()[0][:] == (5000, 4999)
+
+
 def test_rounding_keeps_expectations():
     rng = np.random.default_rng(5)
     share = [0.1, 0.5, 0.7, 0.3, 0.9, 0.2, 0.3]
@@ -160,7 +242,20 @@ def test_a_bucket_whose_centre_misses_links(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in brute_components(list(enumerate(texts)), 4).items()}
 
 
+def test_links_at_the_threshold(spark, monkeypatch):
+    """Many short documents around the threshold in one bucket: none of their links may be ruled out by an estimate."""
+    r = random.Random(5)
+    base = [f"t{i}" for i in range(14)]
+    rows = [(i, " ".join(base[:k] + [f"u{i}x{j}" for j in range(r.randint(0, 3))])) for i, k in enumerate(r.randint(8, 14) for _ in range(700))]
+    rows += [(1000 + i, " ".join(f"v{i % 40}x{j}" for j in range(9 + i % 3))) for i in range(300)]
+    monkeypatch.setattr(near_dedup, "constants", lambda n, s: shingles.constants(n, s) * np.uint64(0))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(docs(spark, [(i, t, "en", "s") for i, t in rows]), k=4).collect()}
+    assert got == brute_components(rows, 4)
+
+
 def test_near_duplicates_of_odd_tables(spark):
+    nameless = docs(spark, [(None, "a b c d e f", "en", None), (None, "", "en", None), (7, "a b c d e f", "en", None)])
+    assert sorted(map(tuple, near_dedup.near_duplicates(nameless, k=4).collect()), key=str) == [(7, 3, 7, True), (None, 0, None, True), (None, 3, None, True)]
     d = docs(spark, [(1, "a b c d e f", "en", None), (1, "a b c d e f", "en", None), (2, "a b c d e f", None, "s"), (3, None, "en", "s"), (4, "x", "en", "s"), (4, "y", "en", "s")])
     got = sorted(map(tuple, near_dedup.near_duplicates(d, k=4).collect()))
     assert got == [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 0, 3, True), (4, 1, 4, True), (4, 1, 4, True)]
@@ -187,7 +282,7 @@ def test_neighbours_recall_and_odd_vectors(spark):
     rng = np.random.default_rng(4)
     v = rng.standard_normal((1500, 16)).astype(np.float32)
     v[100:400] = v[50]  # a hot vector
-    rows = [(i, [float(x) for x in a], 1) for i, a in enumerate(v)] + [(5000, None, 1), (5050, [0.0] * 16, 1), (5100, [float("nan")] * 16, 1), (5150, [None] * 16, 1), (5200, [1.0, 2.0], 1), (5203, [2.0, 4.0], 1), (50, [float(x) for x in v[50]], 1)]
+    rows = [(i, [float(x) for x in a], 1) for i, a in enumerate(v)] + [(5000, None, 1), (5050, [0.0] * 16, 1), (5100, [float("nan")] * 16, 1), (5150, [None] * 16, 1), (5200, [1.0, 2.0], 1), (5203, [2.0, 4.0], 1), (50, [float(x) for x in v[50]], 1), (None, [float(x) for x in v[50]], 1)]
     e = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
     got = ann.nearest(e).collect()
     x = v.astype(np.float64)
@@ -202,11 +297,24 @@ def test_neighbours_recall_and_odd_vectors(spark):
         hits += len({r.vec_id for r in mine} & set(order))
         total += 5
     assert hits / total >= 0.9
+    assert all(r.query_id is not None and r.vec_id is not None for r in got)
     assert {(r.query_id, r["rank"], r.vec_id) for r in got if r.query_id >= 5000} == {(5200, 1, 5203)}
     assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 50] == [100, 101, 102, 103, 104]
     assert ann.nearest(e.limit(0)).count() == 0
 
 
+def test_scaled_copies_are_split_and_tie(spark, monkeypatch):
+    """Vectors with equal strings in all trees are dealt to several runs, and none of them is lost."""
+    monkeypatch.setattr(ann, "SEGMENT", 64)
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal(8).astype(np.float32)
+    rows = [(i, [float(x) * 2.0 ** (i % 7 - 3) * (1 + i // 7) for x in v]) for i in range(700)] + [(1000 + i, [float(x) for x in rng.standard_normal(8)]) for i in range(200)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id < 1000").collect()
+    assert len(got) == 14 * 5 and all(r.score == pytest.approx(1.0, abs=1e-12) and r.vec_id < 700 for r in got)
+    again = ann.nearest(spark.createDataFrame(rows[::-1], "vec_id long, embedding array<double>").repartition(5)).where("query_id < 1000").collect()
+    assert sorted(got) == sorted(again)
+
+
 # pages
 
 
@@ -218,10 +326,51 @@ PAGE = """<!DOCTYPE html><html lang=en><head><title>No</title><style>p{}</style>
 
 
 def test_blocks_of_a_page():
-    kept = [t for t, own, never in html_text.page_blocks(PAGE) if own and not never]
+    kept = [t for t, own in html_text.page_blocks(PAGE) if own]
     assert kept == ["A & B A", "First bold text next", "Second 1 < 2 end", "one", "two"]
 
 
+@pytest.mark.parametrize(
+    ("page", "own", "open_"),
+    [
+        ('<div class="site has-sidebar"><main><article><p>text', "text", ""),
+        ('<div class="sidebar"><article>own</article></div><div class="sidebar">no</div>', "own", ""),
+        ("<article><p>one<svg/><p>two<iframe src=x />", "one two", ""),
+        ("<article><datalist><option>x</datalist><select><option>1<option>2</select><p>kept", "kept", ""),
+        ("<svg><g><svg>in</svg></g>out</svg><math><mi>x</mi></math> y", "", "x y"),
+        ('<article><p>a <button>no</button> b <span class="ad">x <span>y</span> z</span> c<p>d', "a b c d", ""),
+        ("<p title=it's>hello 'q' <b class=\"x\"y='2'>w</b>", "", "hello 'q' w"),
+        ("<!-->text<!-- c --> more<!--->z<script>if(a<b)</script >!", "", "text morez!"),
+        ("<form><main><p>asp</main><input>mail</form>", "asp", ""),
+        ('<div class="comments"><article class="c">no</article></div><article>yes</article><article class="comment">no', "yes", ""),
+        ("<template><template>a</template>b</template><div hidden><main>x</main></div>y", "", "y"),
+        ('<ul><li class="ad">x<li>y</ul><table><tr><td class=ad>x<td>y<tr><td>z</table>', "", "y y z"),
+        ("a&am<b></b>p; &lt;b&gt; &#x41;&nbsp;z", "", "a&amp; <b> A z"),
+    ],
+)
+def test_markup(page, own, open_):
+    blocks = html_text.page_blocks(page)
+    assert (" ".join(t for t, o in blocks if o), " ".join(t for t, o in blocks if not o)) == (own, open_)
+
+
+def test_cover_decides_beside_and_inside_articles(spark):
+    words = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    foot = "Subscribe to our letter and never miss a story of this house again"
+    passage = "a passage of more than eight words that two articles share indeed"
+    rows = [(i, f"http://a.org/{i}", f"<article><p>{words(i, 20)}<p>{passage if i < 2 else words(-i - 1, 9)}<p>{foot}</article>") for i in range(10)]
+    rows += [(20 + i, f"http://b.org/{i}", f"<article>teaser {i}</article><div>{words(100 + i, 30)}</div><div>{foot}</div>") for i in range(3)]
+    rows += [(40, "http://c.org/1", f"<article>{words(9, 20)}</article><div>beside it</div>")]
+    rows += [(None, "http://c.org/2", f"<article>{words(8, 20)}</article>"), (2**53 + 1, "http://c.org/3", "<article>an id of many digits</article>")]
+    rows += [(50, "http://hot.org/1", "<p>one row often</p>")] * 600 + [(50, "http://hot.org/1", "<p>another text</p>")]
+    got = {}
+    for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        got.setdefault(r.page_id, []).append(r.text)
+    assert all(got[i] == [f"{words(i, 20)}\n{passage if i < 2 else words(-i - 1, 9)}"] for i in range(10))
+    assert all(got[20 + i] == [f"teaser {i}\n{words(100 + i, 30)}"] for i in range(3))
+    assert got[40] == [words(9, 20)] and got[None] == [words(8, 20)] and got[2**53 + 1] == ["an id of many digits"]
+    assert sorted(got[50]) == ["another text"] + ["one row often"] * 600 and sum(map(len, got.values())) == len(rows)
+
+
 def test_text_of_pages(spark):
     template = "<div>Welcome to the site of many things here today friends</div><p>{}</p><div>All the rights of this site are kept by its own makers</div>"
     rows = [(1, "http://h.org/1", PAGE, "x"), (1, "http://h.org/1", PAGE, "x"), (2, None, None, "x"), (3, "http://h.org/3", "", "x")]
@@ -260,6 +409,16 @@ def test_archives_give_the_pages_back(spark):
     assert warc.archive_pages(empty).count() == 0
 
 
+def test_files_of_other_attempts_dont_count(spark):
+    rows = spark.createDataFrame([(i, f"http://a/{i}", f"page {i}") for i in range(40)], "page_id long, url string, html string")
+    folder, archives = warc.write_archives(rows)
+    name = archives.first().name
+    path = folder.removeprefix("file://")
+    shutil.copy(f"{path}/{name}", f"{path}/000000-00000-another.warc.zst")
+    assert sorted(r.page_id for r in warc.read_archives(spark, folder, archives).collect()) == list(range(40))
+    assert archives.agg(F.sum("n")).first()[0] == 40
+
+
 def test_broken_archives_are_refused():
     r = warc.record(1, "u", b"abc", hashlib.sha1(b"abc").hexdigest(), None, "2025-01-01T00:00:00Z")
     assert warc.parsed(r)[:2] == (1, 3)
