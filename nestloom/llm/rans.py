@@ -13,6 +13,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 SCALE = 20
 LANES = 2048
@@ -69,13 +70,14 @@ def encode_block(ids: np.ndarray, doc_ids: list[int | None], sizes: list[int], b
     at = np.cumsum([0, *map(len, words)])
     body = [struct.pack("<II", r, int(at[r])) + s.astype("<u8").tobytes() for r, s in reversed(states)]
     known = np.array([d or 0 for d in doc_ids], dtype="<i8")
-    head = _HEAD.pack(n, lanes, len(doc_ids), len(states), before, int(at[-1]), zlib.crc32(ids.astype("<u4").tobytes()))
+    ids = np.ascontiguousarray(ids, "<u4")
+    head = _HEAD.pack(n, lanes, len(doc_ids), len(states), before, int(at[-1]), zlib.crc32(ids))
     data = b"".join([head, known.tobytes(), np.array([d is None for d in doc_ids], dtype=np.uint8).tobytes(), np.array(sizes, dtype="<u4").tobytes(), *body, x.astype("<u8").tobytes(), *(w.tobytes() for w in words)])
     return struct.pack("<QI", len(data), zlib.crc32(data)) + data
 
 
 class Block:
-    def __init__(self, data: bytes) -> None:
+    def __init__(self, data: memoryview) -> None:
         self.n, self.lanes, docs, marks, self.before, n_words, self.ids_crc = _HEAD.unpack_from(data)
         at = _HEAD.size
 
@@ -118,12 +120,13 @@ class Block:
 
     def decode(self, table: Table) -> np.ndarray:
         ids = np.concatenate([self.decode_part(k, table) for k in range(len(self.marks))])
-        if zlib.crc32(ids.astype("<u4").tobytes()) != self.ids_crc:
+        if zlib.crc32(np.ascontiguousarray(ids, "<u4")) != self.ids_crc:
             raise ValueError("a block's ids don't match their checksum")
         return ids
 
 
-def blocks(file: bytes) -> Iterator[Block]:
+def blocks(file: bytes | pa.Buffer) -> Iterator[Block]:
+    file = memoryview(file)
     if file[: len(MAGIC)] != MAGIC:
         raise ValueError("not a file of token ids")
     at = len(MAGIC)
