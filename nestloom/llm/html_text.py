@@ -56,9 +56,11 @@ NEVER = frozenset("nav footer aside form head menu dialog fieldset search".split
 SILENT = frozenset("svg select datalist button object audio video canvas annotation annotation-xml".split())
 OWN = frozenset("article main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Start tags that end an open element of these names, up to the nearest of the names after the bar.
-IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, a, b in (("li", "li", "ul ol menu"), ("dt", "dt dd", "dl"), ("dd", "dt dd", "dl"), ("tr", "tr td th", "table"), ("td", "td th", "tr table"), ("th", "td th", "tr table"), ("tbody", "thead tbody tfoot tr td th", "table"), ("tfoot", "thead tbody tfoot tr td th", "table"), ("thead", "thead tbody tfoot tr td th caption", "table"))}
-SCOPES = frozenset("table td th caption object".split())
+#: Start tags that end the nearest open element of the first names, and what of the second names is inside it,
+#: unless one of the last names is nearer.
+IMPLIED = {k: tuple(frozenset(x.split()) for x in names) for k, *names in (("li", "li", "", "ul ol menu"), ("dt", "dt dd", "", "dl"), ("dd", "dt dd", "", "dl"), ("tr", "tr", "td th", "table"), ("td", "td th", "", "tr table"), ("th", "td th", "", "tr table"), ("tbody", "thead tbody tfoot caption", "tr td th", "table"), ("tfoot", "thead tbody tfoot caption", "tr td th", "table"), ("thead", "thead tbody tfoot caption", "tr td th", "table"))}
+#: An end tag of another element than a part of a table doesn't reach past these.
+SCOPES, TABLE = frozenset("table td th caption object".split()), frozenset("table tr tbody thead tfoot td th caption".split())
 #: Words in class, id or role that mark what is not the page's own text; an article inside what the first
 #: line's words mark is still one, as they also name layouts; the last line's words mark an article itself.
 LAYOUT = frozenset("sidebar menu nav navbar navigation banner search toolbar hidden overlay social share sharing login signup widget footer masthead".split())
@@ -97,9 +99,10 @@ def _is_own(attributes: dict[str, str]) -> bool:
 def page_blocks(page: str) -> list[tuple[str, bool]]:
     """text and whether it is inside an article, of each block in page order that may be text."""
     out: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # name, own, how firmly left out, whether it is a block
-    own, gone = False, KEPT
+    stack: list[tuple[str, bool, int, bool, int]] = []  # name, own, how firmly left out, whether it is a block, scope
+    own, gone, scope = False, KEPT, 0
     inline: dict[str, int] = {}  # names of open inline elements that are left out
+    opened: dict[tuple[int, str], int] = {}  # open blocks by scope and name; parts of tables as if in one scope
     text: list[str] = []
     pos = 0
 
@@ -111,22 +114,32 @@ def page_blocks(page: str) -> list[tuple[str, bool]]:
                 out.append((" ".join(words), own))
 
     def pop(to: int) -> None:
-        nonlocal own, gone
+        nonlocal own, gone, scope
         if any(s[3] for s in stack[to:]):
             flush()
-        for name, _, _, block in stack[to:]:
-            if not block:
+        for name, _, _, block, at in stack[to:]:
+            if block:
+                opened[(0 if name in TABLE else at, name)] -= 1
+            else:
                 inline[name] -= 1
+            scope -= block and name in SCOPES
         del stack[to:]
         own, gone = (stack[-1][1], stack[-1][2]) if stack else (False, KEPT)
 
     def push(name: str, is_own: bool, firmly: int, block: bool) -> None:
-        nonlocal own, gone
-        stack.append((name, is_own, firmly, block))
-        if not block:
+        nonlocal own, gone, scope
+        stack.append((name, is_own, firmly, block, scope))
+        if block:
+            key = (0 if name in TABLE else scope, name)
+            opened[key] = opened.get(key, 0) + 1
+        else:
             inline[name] = inline.get(name, 0) + 1
+        scope += block and name in SCOPES
         own, gone = is_own, firmly
 
+    def is_open(name: str) -> bool:
+        return bool(opened.get((0 if name in TABLE else scope, name)))
+
     while (m := _TOKEN.search(page, pos)) is not None:
         if m.start() > pos and not gone:
             text.append(html.unescape(page[pos : m.start()]))
@@ -150,30 +163,28 @@ def page_blocks(page: str) -> list[tuple[str, bool]]:
         if name not in BLOCKS:
             if m[1]:
                 if inline.get(name):
-                    pop(max(i for i, s in enumerate(stack) if s[0] == name and not s[3]))
+                    pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name and not stack[i][3]))
             elif not closed:
                 firmly = GONE if name in SILENT else max(gone, _marked(_attributes(m[3]))) if m[3].strip() else gone
                 if firmly > gone or inline.get(name):
                     push(name, own, max(gone, firmly), False)
             continue
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop(i)
-                    break
-                if stack[i][0] in SCOPES and name not in ("table", "tr", "tbody", "thead", "tfoot"):
-                    break
+            if is_open(name):
+                pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][3] and stack[i][0] == name))
             flush()
             continue
         flush()
-        if name in IMPLIED:
-            ended, until = IMPLIED[name]
+        if name in IMPLIED and any(map(is_open, IMPLIED[name][0] | IMPLIED[name][1])):
+            nearest, inside, until = IMPLIED[name]
             to = None
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in until:
                     break
-                if stack[i][0] in ended:
+                if stack[i][0] in nearest | inside:
                     to = i
+                if stack[i][0] in nearest:
+                    break
             if to is not None:
                 pop(to)
         for i in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph

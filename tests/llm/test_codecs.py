@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -100,8 +101,29 @@ def test_copies_spread_over_token_files(spark, monkeypatch):
     assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
 
 
+def test_batches_of_bytes_are_the_librarys(codec, library, monkeypatch):
+    texts = random_texts(800, 11) + [t or "" for t in MESSY] + ["a b  c", " lead", "trail ", "x\u3000 y", "it's we'll \n\n z", "no-break\xa0 x", "\x0b \x0c", "tab\tword  "] * 3
+    for limit, size in ((bpe.CACHE, 900), (40, 7)):
+        monkeypatch.setattr(bpe, "CACHE", limit)
+        for i in range(0, len(texts), size):
+            part = texts[i : i + size]
+            ids, stops = codec.encode_batch(pa.array(["skipped", *part]).slice(1))
+            for t, x in zip(part, np.split(ids, stops[:-1]), strict=True):
+                assert x.tolist() == library.encode_ordinary(t), t
+                assert codec.decode(x.tobytes()) == t.encode()
+
+
+def test_counts_are_whole_when_forgotten(monkeypatch):
+    monkeypatch.setattr(token_count, "CACHE", 30)
+    file = vocab.path(queries.PIECE_BPE)
+    lengths, model = token_count.Lengths(file, ["the", "a"], np.array([1, 1])), vocab.piece_model(file)
+    texts = random_texts(300, 12) + ["", " ", "  ", "the  the", "▁", "a▁▁b", " x "]
+    for i in range(0, len(texts), 9):
+        part = pa.array(["skipped", *texts[i : i + 9]]).slice(1)
+        assert lengths.count(part).tolist() == [len(model.encode(t)) for t in texts[i : i + 9]]
+
+
 def test_words_are_learned_anew_when_forgotten(monkeypatch):
-    import pyarrow as pa
 
     monkeypatch.setattr(token_files, "WORDS", 30)
     monkeypatch.setattr(token_files, "PIECES", 20)

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import shutil
+import time
 
 import numpy as np
 import pytest
@@ -303,15 +304,27 @@ def test_neighbours_recall_and_odd_vectors(spark):
     assert ann.nearest(e.limit(0)).count() == 0
 
 
-def test_scaled_copies_are_split_and_tie(spark, monkeypatch):
+def test_blocks_and_runs_find_the_same(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SEGMENT", 256)
+    monkeypatch.setattr(ann, "LEAST_BLOCK", 300)
+    rng = np.random.default_rng(6)
+    near = rng.standard_normal((40, 24))
+    rows = [(i, [float(x) for x in near[i % 40] + rng.standard_normal(24) * (0.3 if i % 3 else 2.0)]) for i in range(2400)] + [(5000 + i, [float(x) for x in rng.standard_normal(5)]) for i in range(60)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = [sorted(map(tuple, ann.nearest(e, start=200, layout=how).collect())) for how in ("blocks", "runs", None)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 5 * (48 + 2)
+
+
+@pytest.mark.parametrize("layout", ["blocks", "runs"])
+def test_scaled_copies_are_split_and_tie(spark, monkeypatch, layout):
     """Vectors with equal strings in all trees are dealt to several runs, and none of them is lost."""
     monkeypatch.setattr(ann, "SEGMENT", 64)
     rng = np.random.default_rng(2)
     v = rng.standard_normal(8).astype(np.float32)
     rows = [(i, [float(x) * 2.0 ** (i % 7 - 3) * (1 + i // 7) for x in v]) for i in range(700)] + [(1000 + i, [float(x) for x in rng.standard_normal(8)]) for i in range(200)]
-    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id < 1000").collect()
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), layout=layout).where("query_id < 1000").collect()
     assert len(got) == 14 * 5 and all(r.score == pytest.approx(1.0, abs=1e-12) and r.vec_id < 700 for r in got)
-    again = ann.nearest(spark.createDataFrame(rows[::-1], "vec_id long, embedding array<double>").repartition(5)).where("query_id < 1000").collect()
+    again = ann.nearest(spark.createDataFrame(rows[::-1], "vec_id long, embedding array<double>").repartition(5), layout=layout).where("query_id < 1000").collect()
     assert sorted(got) == sorted(again)
 
 
@@ -353,6 +366,13 @@ def test_markup(page, own, open_):
     assert (" ".join(t for t, o in blocks if o), " ".join(t for t, o in blocks if not o)) == (own, open_)
 
 
+@pytest.mark.parametrize("page", ["<div>" * 60_000 + "</p>" * 60_000, "<ul><li>" + "<div>" * 40_000 + "<li>x" * 40_000, "<a b='" * 60_000, '<p class="x' * 60_000, "<" * 200_000, "<!--" * 60_000, "<table><tr><td>" * 20_000 + "</div>" * 60_000, "<span class=ad>" * 30_000 + "</span>" * 30_000 + "end", "</!" * 60_000, "&amp;" * 200_000, "<script>" * 60_000, "<p>" * 100_000 + "x", "<a " + "x/ " * 150_000])
+def test_odd_markup_stays_cheap(page):
+    start = time.process_time()
+    html_text.page_blocks(page)
+    assert time.process_time() - start < 20
+
+
 def test_cover_decides_beside_and_inside_articles(spark):
     words = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
     foot = "Subscribe to our letter and never miss a story of this house again"
