@@ -42,7 +42,10 @@ class Attacher:
                     steps.pop(0)
                 else:
                     inner = steps.pop(0).steps if step.expect == "many" and steps and _pushable(steps[0], step.field) else ()
-                    df = self._enrich(df, scope, step, inner, _needed(steps, step.field) if not inner else None)
+                    needed = None if inner else _needed(steps, step.field)
+                    if step.expect == "many" and needed == set():  # nothing reads it, and any number will do
+                        continue
+                    df = self._enrich(df, scope, step, inner, needed)
                     if step.expect == "many":
                         self.arrays.add(step.field)
             elif isinstance(step, Filter):

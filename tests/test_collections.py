@@ -52,6 +52,8 @@ def test_what_is_attached_is_pruned(stored):
     scans = plan_of(got).split("Scan parquet")
     assert any("ReadSchema: struct<id:bigint,part:int,amount:double>" in x and "GreaterThan(amount" in x for x in scans)
     assert {r["_key"]: [x.a for x in r["items"]] for r in got.where("id in (3, 2)").collect()} == {"3": [1.5], "2": []}
+    unread = stored.run_all("from t enrich items using two matching part = id expect many project { id }")
+    assert "Join" not in plan_of(unread) and unread.count() == 100
     few = stored.run_all("from t enrich items using two matching part = id expect many project { id, items { amount } }")
     assert any("ReadSchema: struct<id:bigint,part:int,amount:double>" in x for x in plan_of(few).split("Scan parquet"))
 
