@@ -101,14 +101,13 @@ class Attacher:
 
     def _check(self, left: DataFrame, right: DataFrame, step: Enrich) -> None:
         """Every key asked for has at most one candidate, and exactly one where that is expected."""
-        counted = right.where(F.col(MATCH).isNotNull()).groupBy(MATCH).agg(F.count(F.lit(1)).alias("n"))
-        if step.expect == "optional":  # few keys are repeated, if any
-            bad = counted.where("n > 1").join(left.distinct(), F.col(LEFT) == F.col(MATCH), "left_semi").select(F.col(MATCH).alias(LEFT), "n")
-        else:
-            n = F.coalesce("n", F.lit(0)).alias("n")
-            bad = left.distinct().join(counted, F.col(LEFT) == F.col(MATCH), "left").select(LEFT, n).where("n <> 1")
-        if found := bad.limit(1).collect():
-            raise QueryError(CARDINALITY, f"{step.field}: {found[0].n} matches for {found[0][LEFT]!r}")
+        repeated = right.where(F.col(MATCH).isNotNull()).groupBy(MATCH).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        bad = [left.join(repeated, F.col(LEFT) == F.col(MATCH)).select(LEFT, "n")]
+        if step.expect == "exactly_one":
+            bad.append(left.join(right, F.col(LEFT) == F.col(MATCH), "left_anti").select(LEFT, F.lit(0).alias("n")))
+        for rows_ in bad:
+            if found := rows_.limit(1).collect():
+                raise QueryError(CARDINALITY, f"{step.field}: {found[0].n} matches for {found[0][LEFT]!r}")
 
     def _semi(self, df: DataFrame, scope: Scope, step: Enrich, kind: str) -> DataFrame:
         """Attaching many and asking only whether there are any is a semi or anti join."""
