@@ -3,17 +3,22 @@
 Each of TREES trees gives a vector a string of 64 bits, the signs of its products with random directions, and is the sorted
 array of these strings. A query descends to where its own string stands, so to its longest prefix match, and ascends
 through shorter prefixes, which are ever wider intervals around that place. All trees ascend together, in two steps. The
-first goes up to the longest prefix at which the intervals of FIRST trees hold START strings; the k-th best score among
-those is a lower bound for the true one. Two vectors at an angle a share b bits of a tree with probability (1 - a/pi)**b,
+first goes up to the longest prefix at which the intervals of FIRST trees hold START strings, of all vectors or, where
+there are more than FIRST_BLOCKS blocks of them, of a sample of so many blocks by hash; the k-th best score among those is a
+lower bound for the true one. Two vectors at an angle a share b bits of a tree with probability (1 - a/pi)**b,
 so the second goes up to the longest prefix at which a vector as near as that bound is missed by all trees with a
 probability of at most MISS. This rule knows neither the number of vectors nor their length. Where even the widest
 intervals of all trees hold more strings than one whole tree, the query is compared with one whole tree, so with all.
 
-The arrays are dealt out as runs of the sorted order of (tree, string), about SEGMENT strings to a run; where many strings
-are equal, so that several runs start with one, they are dealt to these runs by id. A query goes to every run that its
-interval meets, so nothing is lost at the ends of runs. Found vectors are compared exactly, in double precision and each
-pair by itself, so that a score doesn't depend on what else is in a run. Equal vectors are one class, searched once and
-represented by their least ids.
+There are two ways to lay the arrays out, which find the same. By blocks, vectors are dealt once to blocks of about BLOCK
+components, each of which sorts its own part of every tree, and each query goes to every block. By runs, each tree's whole
+array is dealt out as runs of its order, about SEGMENT strings to a run, and a query goes to the runs that its interval
+meets; so every vector moves once for each tree, but a query doesn't meet all vectors' runs. The way that moves fewer rows
+is taken: runs, where the vectors are so many that queries times blocks exceed vectors times trees. Where many strings are
+equal, so that several runs start with one, they are dealt to these runs by id. Nothing is lost at the ends of runs.
+
+Found vectors are compared exactly, in double precision and each pair by itself, so that a score doesn't depend on what
+else is near. Equal vectors are one class, searched once and represented by their least ids.
 
 Rows without an id and vectors that are null, zero, empty or hold a null or a non-finite component take no part; vectors of
 other lengths are in trees of their own. Repeated ids count once for each different vector. Ties go to the smaller id. Fewer candidates than k
@@ -33,8 +38,12 @@ from pyspark.sql import functions as F
 from .common import dropping, written
 
 TREES, BITS, SEGMENT, SALT = 24, 64, 1 << 15, 16
+#: Components of a block's vectors, and vectors of the smallest blocks that a small table is dealt to for the sake of cores.
+BLOCK, LEAST_BLOCK, CORES = 1 << 22, 1 << 12, 16
 #: Trees and strings of the first step, and the probability with which the second may miss a neighbour.
 FIRST, START, MISS = 4, 6_000, 0.1
+#: Blocks that the first step looks into.
+FIRST_BLOCKS = 64
 _SIGN = np.uint64(1 << 63)
 
 
@@ -79,13 +88,18 @@ def _strings(classes: DataFrame, every: int) -> DataFrame:
     return classes.select("rep", "vector", query.alias("query")).mapInArrow(run, f"rep bigint, size int, query boolean, vector {vector_type}, codes array<bigint>")
 
 
-def _intervals(codes: np.ndarray, at: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places in the sorted strings that share the first bits (one number for each query) with the strings at `at`."""
-    c = codes.view(np.uint64) ^ np.uint64(1 << 63)
-    shift = (64 - bits).astype(np.uint64)
-    low = np.where(bits == 0, np.uint64(0), c[at] >> np.minimum(shift, np.uint64(63)) << np.minimum(shift, np.uint64(63)))
-    high = np.where(bits == 0, ~np.uint64(0), low | ((np.uint64(1) << np.minimum(shift, np.uint64(63))) - np.uint64(1)))
-    return np.searchsorted(c, low, "left"), np.searchsorted(c, high, "right")
+def _limits(codes: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest string that shares the first bits, one number for each, with a string."""
+    shift = (64 - np.maximum(bits, 1)).astype(np.uint64)
+    low = np.where(bits == 0, np.uint64(0), (codes.view(np.uint64) ^ _SIGN) >> shift << shift)
+    high = np.where(bits == 0, ~np.uint64(0), low | ((np.uint64(1) << shift) - np.uint64(1)))
+    return (low ^ _SIGN).view(np.int64), (high ^ _SIGN).view(np.int64)
+
+
+def _intervals(codes: np.ndarray, asked: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in the sorted strings that share the first bits with the strings asked for."""
+    low, high = _limits(asked, bits)
+    return np.searchsorted(codes, low, "left"), np.searchsorted(codes, high, "right")
 
 
 def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
@@ -96,36 +110,37 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
             yield part.sort_values(["code", "rep"], kind="stable").reset_index(drop=True)
 
 
-def _ascents(strings: DataFrame, parts: int, wanted: int) -> tuple[DataFrame, dict[tuple[int, int], tuple[int, np.ndarray]]]:
-    """rep, bits: the longest prefix of each query at which the first trees hold the wanted number within its own parts.
-    And for each (size, tree) the number of its first run and the string that each of its runs starts with."""
+def _starts(strings: DataFrame, parts: int) -> dict[tuple[int, int], tuple[int, np.ndarray]]:
+    """For each (size, tree) the number of its first run and the string that each of its runs starts with."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["rep", "counts", "size", "tree", "bound"]
         for rows in _runs(batches):
-            codes, at, size, tree = rows["code"].to_numpy(), np.flatnonzero(rows["query"].to_numpy()), int(rows["size"][0]), int(rows["tree"][0])
-            bounds = codes[::SEGMENT]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(bounds), pa.int64()), pa.nulls(len(bounds), pa.list_(pa.int64())), pa.array(np.full(len(bounds), size), pa.int32()), pa.array(np.full(len(bounds), tree), pa.int32()), pa.array(bounds, pa.int64())], names=names)
-            if tree >= FIRST or not len(at):
-                continue
-            counts = np.empty((len(at), BITS + 1), dtype=np.int64)
-            for n in range(BITS + 1):
-                lo, hi = _intervals(codes, at, np.full(len(at), n))
-                counts[:, n] = hi - lo
-            yield pa.RecordBatch.from_arrays([pa.array(rows["rep"].to_numpy()[at], pa.int64()), pa.array(list(counts), pa.list_(pa.int64())), *(pa.nulls(len(at), t) for t in (pa.int32(), pa.int32(), pa.int64()))], names=names)
-
-    slim = strings.select("rep", "size", "query", F.posexplode("codes").alias("tree", "code"))
-    counted = written(slim.repartitionByRange(parts, "size", "tree", "code", "rep").mapInArrow(run, "rep bigint, counts array<bigint>, size int, tree int, bound bigint"), "counted")
-    total = counted.where("rep is not null").groupBy("rep").agg(*[F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(BITS + 1)])
-    bits = F.coalesce(*[F.when(F.col(f"c{i}") >= wanted, F.lit(i)) for i in range(BITS, -1, -1)], F.lit(0))
+            bounds, n = rows["code"].to_numpy()[::SEGMENT], -(-len(rows) // SEGMENT)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, int(rows[c][0])), pa.int32()) for c in ("size", "tree")] + [pa.array(bounds, pa.int64())], names=["size", "tree", "bound"])
+
+    slim = strings.select("rep", "size", F.posexplode("codes").alias("tree", "code"))
+    counted = written(slim.repartitionByRange(parts, "size", "tree", "code", "rep").mapInArrow(run, "size int, tree int, bound bigint"), "starts")
     starts: dict[tuple[int, int], list[int]] = {}
-    for r in counted.where("rep is null").select("size", "tree", "bound").orderBy("size", "tree", "bound").toLocalIterator():
+    for r in counted.orderBy("size", "tree", "bound").toLocalIterator():
         starts.setdefault((r.size, r.tree), []).append(r.bound)
     runs, first = {}, 0
     for key, of in starts.items():
         runs[key] = (first, np.array(of, dtype=np.int64))
         first += len(of)
-    return total.select("rep", bits.alias("bits")), runs
+    return runs
+
+
+def _ascended(sorted_codes: list[np.ndarray], codes: np.ndarray, wanted: int) -> np.ndarray:
+    """For each query the longest prefix at which its intervals in all trees hold the wanted number of strings, or 0."""
+    low, high = np.zeros(len(codes), np.int64), np.full(len(codes), BITS)
+    while (low < high).any():  # fewer strings share a longer prefix
+        middle = (low + high + 1) // 2
+        held = np.zeros(len(codes), np.int64)
+        for t, c in enumerate(sorted_codes):
+            lo, hi = _intervals(c, np.ascontiguousarray(codes[:, t]), middle)
+            held += hi - lo
+        low, high = np.where(held >= wanted, middle, low), np.where(held >= wanted, high, middle - 1)
+    return low
 
 
 def depth(score: float | None, miss: float = MISS) -> int:
@@ -158,10 +173,7 @@ def _deal(strings: DataFrame, runs: dict[tuple[int, int], tuple[int, np.ndarray]
                         own = np.where(until > from_, from_ + reps[at] % np.maximum(until - from_, 1), until - 1)
                         got.append((first + own, np.zeros(len(at), bool), at, c, c))
                         who = at[(bits[at] > 0) | (bits[at] == 0) & (tree == 0)]
-                        n = bits[who]
-                        low = np.where(n == 0, np.uint64(0), (u := codes[who, tree].view(np.uint64) ^ _SIGN) >> (64 - np.maximum(n, 1)).astype(np.uint64) << (64 - np.maximum(n, 1)).astype(np.uint64))
-                        high = np.where(n == 0, ~np.uint64(0), low | ((np.uint64(1) << (64 - np.maximum(n, 1)).astype(np.uint64)) - np.uint64(1)))
-                        lo, hi = (low ^ _SIGN).view(np.int64), (high ^ _SIGN).view(np.int64)
+                        lo, hi = _limits(np.ascontiguousarray(codes[who, tree]), bits[who])
                         a, b = np.searchsorted(bounds, lo, "left"), np.searchsorted(bounds, hi, "right")
                         a = np.maximum(np.where(np.searchsorted(bounds, lo, "right") > a, a, a - 1), 0)
                         times = b - a
@@ -176,78 +188,160 @@ def _deal(strings: DataFrame, runs: dict[tuple[int, int], tuple[int, np.ndarray]
     return strings.select("rep", "size", "bits", "vector", "codes").mapInArrow(run, f"run bigint, asks boolean, rep bigint, vector {vector_type}, lo bigint, hi bigint")
 
 
-def _search(strings: DataFrame, runs: dict[tuple[int, int], tuple[int, np.ndarray]], trees: int, parts: int, k: int) -> DataFrame:
-    """rep, other, score: the k + 1 best found for each query, itself among them."""
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+
+
+def _stretches(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
+    """place, asks and rows of the stretches of one place (column 0) and one kind (column 1)."""
+    for batch in batches:
+        of, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        cuts = np.flatnonzero((np.diff(of) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(of)], strict=True):
+            if a < b:
+                yield int(of[a]), bool(asks[a]), batch.slice(a, b - a)
+
+
+class _Best:
+    """The k + 1 best of each query, gathered for a batch."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.columns = k, ([], [], [])
+
+    def add(self, query: int, reps: np.ndarray, v: np.ndarray, norm: np.ndarray, x: np.ndarray, some: np.ndarray | None) -> None:
+        """Of the vectors, or some of them by place, those nearest to x."""
+        if some is not None and 4 * len(some) < len(v):
+            reps, v, norm, some = reps[some], v[some], norm[some], None
+        score = np.einsum("ij,j->i", v, x) / (norm * np.sqrt(np.einsum("i,i->", x, x)))
+        if some is not None:
+            reps, score = reps[some], score[some]
+        if not len(score):
+            return
+        k = self.k
+        t = np.arange(len(score)) if len(score) <= 4 * k else np.flatnonzero(score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1])
+        best = t[np.lexsort((reps[t], -score[t]))][: k + 1]
+        for column, value in zip(self.columns, (np.full(len(best), query), reps[best], score[best]), strict=True):
+            column.append(value)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if self.columns[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(self.columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["rep", "other", "score"])
+            self.columns = ([], [], [])
 
-    def matrix(column: pa.Array, n: int) -> np.ndarray:
-        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
+_FOUND = "rep bigint, other bigint, score double"
+
+
+def _by_runs(strings: DataFrame, runs: dict[tuple[int, int], tuple[int, np.ndarray]], trees: int, parts: int, k: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, ready = -1, [], False
+        now, held, ready = None, [], False
         v = norm = codes = reps = np.empty(0)
-        for batch in batches:
-            of, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            cuts = np.flatnonzero((np.diff(of) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(of)], strict=True):
-                if a == b:
+        for of, asks, part in _stretches(batches):
+            if of != now:
+                now, held, ready = of, [], False
+            if not asks:
+                held.append((part.column(2).to_numpy(), _matrix(part.column(3), len(part)), part.column(4).to_numpy()))
+                continue
+            if not ready:
+                if not held:  # no string stands in this run
                     continue
-                part = batch.slice(a, b - a)
-                if of[a] != now:
-                    now, held, ready = of[a], [], False
-                if not asks[a]:
-                    held.append((part.column(2).to_numpy(), matrix(part.column(3), len(part)), part.column(4).to_numpy()))
+                reps, v, codes = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = np.lexsort((reps, codes))
+                reps, v, codes, held, ready = reps[order], v[order], codes[order], [], True
+                norm = np.sqrt(np.einsum("ij,ij->i", v, v))
+            best = _Best(k)
+            lo, hi = np.searchsorted(codes, part.column(4).to_numpy(), "left"), np.searchsorted(codes, part.column(5).to_numpy(), "right")
+            for rep, x, i, j in zip(part.column(2).to_pylist(), _matrix(part.column(3), len(part)), lo.tolist(), hi.tolist(), strict=True):
+                best.add(rep, reps[i:j], v[i:j], norm[i:j], x, None)
+            yield from best.batches()
+
+    return _deal(strings, runs, trees).repartition(parts, "run").sortWithinPartitions("run", "asks").mapInArrow(run, _FOUND)
+
+
+def _by_blocks(strings: DataFrame, blocks: int, trees: int, k: int, wanted: int = 0) -> DataFrame:
+    """strings: (rep, size, bits, vector, codes). With a wanted number, each block ascends until it holds as many; otherwise
+    prefixes are those of bits, null where nothing is asked."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, ready = None, [], False
+        v = norm = reps = np.empty(0)
+        order: list[np.ndarray] = []
+        sorted_codes: list[np.ndarray] = []
+        for of, asks, part in _stretches(batches):
+            if of != now:
+                now, held, ready = of, [], False
+            codes = part.column(4).flatten().to_numpy().reshape(-1, TREES)
+            if not asks:
+                held.append((part.column(2).to_numpy(), _matrix(part.column(3), len(part)), codes))
+                continue
+            if not ready:
+                if not held:
                     continue
-                if not ready:
-                    if not held:  # no string stands in this run
-                        continue
-                    reps, v, codes = (np.concatenate(x) for x in zip(*held, strict=True))
-                    order = np.lexsort((reps, codes))
-                    reps, v, codes, held, ready = reps[order], v[order], codes[order], [], True
-                    norm = np.sqrt(np.einsum("ij,ij->i", v, v))
-                mine, vectors = part.column(2).to_numpy(), matrix(part.column(3), len(part))
-                lo, hi = np.searchsorted(codes, part.column(4).to_numpy(), "left"), np.searchsorted(codes, part.column(5).to_numpy(), "right")
-                q, o, s = [], [], []
-                for rep, x, i, j in zip(mine, vectors, lo.tolist(), hi.tolist(), strict=True):
-                    if i == j:
-                        continue
-                    score = np.einsum("ij,j->i", v[i:j], x) / (norm[i:j] * np.sqrt(np.einsum("i,i->", x, x)))
-                    t = np.arange(j - i) if j - i <= 4 * k else np.flatnonzero(score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1])
-                    best = t[np.lexsort((reps[i:j][t], -score[t]))][: k + 1]
-                    q.append(np.full(len(best), rep))
-                    o.append(reps[i:j][best])
-                    s.append(score[best])
-                if q:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip((q, o, s), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["rep", "other", "score"])
-
-    met = _deal(strings, runs, trees).repartition(parts, "run").sortWithinPartitions("run", "asks").mapInArrow(run, "rep bigint, other bigint, score double")
-    best = met.groupBy("rep", "other").agg(F.max("score").alias("score"))
+                reps, v, all_codes = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = [np.argsort(all_codes[:, t], kind="stable") for t in range(trees)]
+                sorted_codes = [all_codes[o, t] for t, o in enumerate(order)]
+                held, ready, norm = [], True, np.sqrt(np.einsum("ij,ij->i", v, v))
+            best, limits = _Best(k), []
+            bits = _ascended(sorted_codes, codes, wanted) if wanted else part.column(5).to_numpy()
+            for t in range(trees):
+                limits.append(_intervals(sorted_codes[t], np.ascontiguousarray(codes[:, t]), bits))
+            for i, (rep, x) in enumerate(zip(part.column(2).to_pylist(), _matrix(part.column(3), len(part)), strict=True)):
+                if bits[i] == 0:
+                    best.add(rep, reps, v, norm, x, None)
+                    continue
+                met = np.zeros(len(reps), dtype=bool)
+                for o, (lo, hi) in zip(order, limits, strict=True):
+                    met[o[lo[i] : hi[i]]] = True
+                best.add(rep, reps, v, norm, x, np.flatnonzero(met))
+            yield from best.batches()
+
+    place = F.col("size").cast("bigint") * F.lit(1 << 32)
+    rows = strings.select((place + F.pmod(F.xxhash64("rep"), F.lit(blocks))).alias("run"), F.lit(False).alias("asks"), "rep", "vector", "codes", "bits")
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    asks = strings.where("bits is not null").select(every.alias("block"), "size", "rep", "vector", "codes", "bits").select((place + F.col("block")).alias("run"), F.lit(True).alias("asks"), "rep", "vector", "codes", "bits")
+    return rows.unionByName(asks).repartition(blocks, "run").sortWithinPartitions("run", "asks").mapInArrow(run, _FOUND)
+
+
+def _search(found: DataFrame, k: int) -> DataFrame:
+    """rep, other, score: the k + 1 best found for each query, itself among them."""
+    best = found.groupBy("rep", "other").agg(F.max("score").alias("score"))
     w = Window.partitionBy("rep").orderBy(F.desc("score"), "other")
     return best.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
 
 
-def nearest(rows: DataFrame, k: int = 5, every: int = 50, start: int = START, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest found for each id divisible by `every`."""
+def nearest(rows: DataFrame, k: int = 5, every: int = 50, start: int = START, id_col: str = "vec_id", vector_col: str = "embedding", layout: str | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score of the k nearest found for each id divisible by `every`. layout: blocks or runs; by
+    default the one that moves fewer rows."""
     with dropping(rows.sparkSession) as keep:
-        return keep(_nearest(rows, k, every, start, id_col, vector_col), "nearest")
+        return keep(_nearest(rows, k, every, start, id_col, vector_col, layout), "nearest")
 
 
-def _nearest(rows: DataFrame, k: int, every: int, start: int, id_col: str, vector_col: str) -> DataFrame:
+def _nearest(rows: DataFrame, k: int, every: int, start: int, id_col: str, vector_col: str, layout: str | None) -> DataFrame:
     base = rows.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).alias("vector")).where(F.col("vec_id").isNotNull() & valid(F.col("vector")))
     classes = written(_classes(base, k), "classes")
     own = written(base.where(F.col("vec_id") % every == 0).distinct().join(classes.select("rep", "vector"), "vector").select(F.col("vec_id").alias("query_id"), "rep"), "queries")
     strings = _strings(classes, every)
     asked = own.select("rep").distinct().withColumn("asked", F.lit(True))
     strings = written(strings.drop("query").join(asked, "rep", "left").select("rep", "size", F.coalesce("asked", F.lit(False)).alias("query"), "vector", "codes"), "strings")
-    n = strings.count()
-    parts = max(1, -(-n * TREES // SEGMENT))
-    bits, runs = _ascents(strings, parts, start)
-    first = _search(strings.join(written(bits, "ascents"), "rep", "left"), runs, FIRST, max(1, -(-n * FIRST // SEGMENT)), k)
+    n, asking, longest = strings.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("query").cast("long")), F.lit(0)), F.coalesce(F.max("size"), F.lit(1))).first()
+    blocks = max(1, -(-n // max(LEAST_BLOCK, BLOCK // longest)), min(CORES, -(-n // LEAST_BLOCK)))
+    as_blocks = layout != "runs" and (layout == "blocks" or n + asking * blocks <= TREES * n)
+
+    some = min(blocks, FIRST_BLOCKS)
+    sampled = F.col("query") | (F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(blocks)) < some)
+    asks = strings.where(sampled).select("rep", "size", F.when(F.col("query"), F.lit(0)).alias("bits"), "vector", "codes")
+    first = _search(_by_blocks(asks, some, FIRST, k, max(k + 1, start // some)), k)
     # One of the k + 1 best is the query itself.
     bound = written(first.groupBy("rep").agg(F.min(F.when(F.col("r") == k + 1, F.col("score"))).alias("bound")), "bounds")
     rule = F.udf(lambda score: b if TREES < 1 << (b := depth(score)) else 0, "int")
     bits = written(bound.select("rep", rule("bound").alias("bits")), "depths")
     trees = 1 if bits.where("bits > 0").isEmpty() else TREES
-    found = _search(strings.join(bits, "rep", "left"), runs, trees, max(1, -(-n * trees // SEGMENT)), k)
+    rows = strings.join(bits, "rep", "left")
+    if as_blocks:
+        found = _search(_by_blocks(rows, blocks, trees, k), k)
+    else:
+        runs = _starts(strings, max(1, -(-n * TREES // SEGMENT)))
+        found = _search(_by_runs(rows, runs, trees, max(1, -(-n * trees // SEGMENT)), k), k)
     best = written(found.drop("r"), "best")
     pairs = best.join(classes.select(F.col("rep").alias("other"), F.explode("ids").alias("vec_id")), "other")
     pairs = own.join(pairs, "rep").where("vec_id <> query_id")
