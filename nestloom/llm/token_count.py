@@ -18,17 +18,20 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
 from .common import give_back, holds, make_room, text_batches, text_or_empty
-from .word_cache import WordCache
+from .word_cache import MOST_BYTES, found
 
 #: Entries of the broadcast table, rows of the sample that ranks them, and longest sampled text, in characters.
 FREQUENT, SAMPLE_ROWS, SAMPLE_CHARS = 50_000, 2_000, 20_000
 _SEGMENT = re.compile(" *[^ ]+| +")
 SPACE_MARK = "▁"
+#: Pre-tokens that a worker remembers.
+CACHE = 500_000
 
 
 def segments(text: str) -> list[str]:
@@ -37,22 +40,49 @@ def segments(text: str) -> list[str]:
     parts = text.split(" ")
     if "" not in parts:
         return parts
-    return [s[1:] for s in _SEGMENT.findall(" " + text)]
+    return [s[1:] for s in _SEGMENT.findall(" " + text)] if text else []
 
 
 class Lengths:
     """Both tiers: the frequent pre-tokens, and what this worker has encoded itself."""
 
-    def __init__(self, file: str, frequent: dict[str, int]) -> None:
-        self.frequent, model = frequent, vocab.piece_model(file)
-        self.rest = WordCache(lambda words: map(len, model.encode(words, num_threads=1)))
-
-    def count_many(self, texts: list[str]) -> list[int]:
-        parts = [segments(t) if t else [] for t in texts]
-        words = set().union(*parts)
-        held = self.rest.holding(words - self.frequent.keys() - {""})
-        both = {w: n for w in words if (n := self.frequent.get(w)) is not None} | {w: held[w] for w in words if w in held} | {"": 1}
-        return [sum(map(both.__getitem__, p)) for p in parts]
+    def __init__(self, file: str, words: list[str], lengths: np.ndarray) -> None:
+        self.model = vocab.piece_model(file)
+        # A pre-token that is one space alone, so empty without its first one, is one token.
+        self.texts, self.length = pa.array(["", *words], pa.string()), np.concatenate([[1], lengths]).astype(np.int64)
+        self.frequent = len(self.texts)
+
+    def _cut(self, texts: pa.Array) -> pa.ListArray:
+        spaced = pc.replace_substring(texts, SPACE_MARK, " ")
+        odd = pc.match_substring_regex(spaced, "^$|^ | $|  ")
+        if not pc.any(odd).as_py():
+            return pc.split_pattern(spaced, " ")
+        places = odd.to_numpy(zero_copy_only=False)
+        by_hand = pa.array([segments(t) for t in spaced.filter(odd).to_pylist()], pa.list_(pa.string()))
+        parts = pa.concat_arrays([pc.split_pattern(spaced.filter(pc.invert(odd)), " "), by_hand])
+        at = np.empty(len(texts), np.int64)
+        at[~places], at[places] = np.arange((~places).sum()), np.arange(places.sum()) + (~places).sum()
+        return parts.take(pa.array(at))
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        if not len(texts):
+            return np.empty(0, np.int64)
+        parts = self._cut(texts)
+        at = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        words = parts.flatten().dictionary_encode()
+        number = found(self.texts, words.dictionary)
+        if len(lacking := np.flatnonzero(number < 0)):
+            new = words.dictionary.take(pa.array(lacking))
+            if len(self.texts) + len(new) > self.frequent + CACHE or self.texts.nbytes > MOST_BYTES:  # the second tier starts anew
+                self.texts, self.length = self.texts.slice(0, self.frequent), self.length[: self.frequent]
+                number = found(self.texts, words.dictionary)
+                lacking = np.flatnonzero(number < 0)
+                new = words.dictionary.take(pa.array(lacking))
+            number[lacking] = np.arange(len(lacking)) + len(self.texts)
+            made = np.fromiter(map(len, self.model.encode(new.to_pylist(), num_threads=1)), np.int64, len(new))
+            self.texts, self.length = pa.concat_arrays([self.texts, new]), np.concatenate([self.length, made])
+        total = np.concatenate([[0], np.cumsum(self.length[number[words.indices.to_numpy()]])]) if len(words) else np.zeros(1, np.int64)
+        return np.diff(total[at])
 
 
 def frequent_table(docs: DataFrame, file: str, text_col: str) -> tuple[str, bytes]:
@@ -75,17 +105,16 @@ def count_tokens(docs: DataFrame, file: str, limit: int, id_col: str = "doc_id",
         lengths = _lengths(file, shared)
         for batch in batches:
             give_back(batch.nbytes)
-            n = [x for i in range(0, batch.num_rows, 512) for x in lengths.count_many(batch.column(1).slice(i, 512).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lengths.count(batch.column(1)), pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
 
     text = text_or_empty(text_col)
     counted = docs.select(F.col(id_col), text.alias("text_"), F.octet_length(text).cast("bigint").alias("bytes_")).mapInArrow(run, f"{id_col} {id_type}, n_bytes bigint, n_tokens bigint")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _table(file: str, key: int, words: str, lengths: bytes) -> Lengths:
-    return Lengths(file, dict(zip(words.split("\n"), np.frombuffer(lengths, "<u2").tolist(), strict=True)) if words else {})
+    return Lengths(file, words.split("\n") if words else [], np.frombuffer(lengths, "<u2"))
 
 
 holds(__name__, _table.cache_clear)

@@ -14,10 +14,24 @@ import pyarrow.compute as pc
 MOST_BYTES = 64 << 20
 
 
+#: Values that are gathered at once, as their places take several times their room.
+CHUNK = 1 << 17
+
+
 def gathered(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The stretches of values, one after the other, and where each ends."""
     ends = np.cumsum(size)
-    return values[np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], ends
+    total = int(ends[-1]) if len(ends) else 0
+    out = np.empty(total, values.dtype)
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(CHUNK, total, CHUNK)) + 1, len(ends))).tolist()
+    begin = done = 0
+    for stop in cuts:
+        n, to = size[begin:stop], int(ends[stop - 1]) if stop else 0
+        places = np.repeat(first[begin:stop] - ends[begin:stop] + n + done, n)
+        places += np.arange(to - done)
+        out[done:to] = values[places]
+        begin, done = stop, to
+    return out, ends
 
 
 def joined(texts: pa.Array, mark: str) -> str:
