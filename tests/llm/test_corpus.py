@@ -114,6 +114,20 @@ def test_pages_use_markup_address_and_host(spark):
     assert set(model.labels) == {"de", "en", "es", "fr"}
 
 
+def test_documents_use_the_address_of_their_source(spark):
+    d = spark.read.parquet(f"{SMALL}/documents.parquet").where("text is not null").select("doc_id", "text", "lang", "source", "n_chars")
+    sources = ["https://A.example.de/x", "www.example.fr", "b.example.org/es/1?q=2", "src0", "de", None, "", "http://a.example.de:80/y"]
+    texts = [r.text for r in d.orderBy("doc_id").limit(40).collect()]
+    rows = [(-1 - i, t[:3], None, sources[i % len(sources)], 0) for i, t in enumerate(texts)] + [(-100 - i, "12 34", None, s, 0) for i, s in enumerate(sources)]
+    d = d.unionByName(spark.createDataFrame(rows, d.schema))
+    model = langid.fit(d.select(F.col("lang").alias("label"), "text"))
+    known = dict(zip(sources, [("de", "a.example.de"), ("fr", "www.example.fr"), ("es", "b.example.org"), (None, "src0"), (None, "de"), (None, None), (None, ""), ("de", "a.example.de")], strict=True))
+    all_rows = d.select("doc_id", "text", "lang", "source").collect()
+    got = {r.doc_id: r for r in langid.identify_documents(d).collect()}
+    for r, (lang, confidence) in zip(all_rows, fused([(r.text, r.lang, *known.get(r.source, (None, r.source))) for r in all_rows], model), strict=True):
+        assert got[r.doc_id].lang == lang and got[r.doc_id].confidence == pytest.approx(confidence, rel=1e-4), r
+
+
 # mixing
 
 
