@@ -113,6 +113,24 @@ def test_batches_of_bytes_are_the_librarys(codec, library, monkeypatch):
                 assert codec.decode(x) == t.encode()
 
 
+def test_short_pieces_of_bytes_are_encoded_side_by_side(library, monkeypatch):
+    """None of them alone, whatever is remembered of pairs; long ones alone."""
+    monkeypatch.setattr(bpe, "PAIRS", 16)
+    monkeypatch.setattr(bpe, "TOGETHER", 50)
+    codec, alone, r = bpe.TextCodec(vocab.path(queries.BYTE_BPE)), [], random.Random(13)
+    one = codec.bpe.encode
+    monkeypatch.setattr(codec.bpe, "encode", lambda piece: alone.append(piece) or one(piece))
+    syllables = ["qu", "eau", "ß", "é", "ing", "中", "x", "th", "aa", "🎉", "\x00", "##", "7"]
+    texts = ["".join(r.choices(syllables, k=r.randint(1, 9))) for _ in range(1500)] + [t or "" for t in MESSY] + random_texts(200, 14)
+    for i in range(0, len(texts), 300):
+        for t, x in zip(texts[i : i + 300], codec.encode_many(texts[i : i + 300]), strict=True):
+            assert np.frombuffer(x, "<u4").tolist() == library.encode_ordinary(t), t
+    assert alone and all(len(piece) > bpe.SIDE_BY_SIDE for piece in alone)
+    with pytest.raises(ValueError):
+        bpe.PrefixBPE({b"a": 0, b"b": 1, b"ab": 2}).many.encode([b"abcab"])
+    assert bpe.PrefixBPE({b"a": 0, b"b": 1, b"ab": 2}).many.encode([b"aab", b"ba"]) == [b"\0\0\0\0\2\0\0\0", b"\1\0\0\0\0\0\0\0"]
+
+
 def test_counts_are_whole_when_forgotten(monkeypatch):
     monkeypatch.setattr(token_count, "CACHE", 30)
     file = vocab.path(queries.PIECE_BPE)
