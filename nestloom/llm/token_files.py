@@ -41,6 +41,8 @@ from .word_cache import Known, joined
 RANGE_IDS, FILE_GROUP = 1 << 22, 4096
 #: Words and pieces of words that a worker remembers; they only save time.
 WORDS, PIECES = 500_000, 500_000
+#: Workers of the stages that handle files don't need the encoder; bytes that coding takes for an id.
+FILES, CODING = f"{__name__}.files", 16
 #: Characters whose lower case and composition need no context, and the pieces that the tokenizer cuts them into.
 _PLAIN = "^[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|\n|[^a-z0-9\n\u00df-\u00f6\u00f8-\u00ff]+")
@@ -157,6 +159,7 @@ def encoded(docs: DataFrame, file: str, end_id: int, id_col: str, text_col: str)
                 ids = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, offsets, pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(stops, prepend=0), pa.int64()), ids], names=["doc_id", "n", "ids"])
                 give_back(batch.nbytes)
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text_")).mapInArrow(run, "doc_id bigint, n bigint, ids binary")
     return rows.withColumn("hash", F.xxhash64("ids")).withColumn("place", F.monotonically_increasing_id())
@@ -166,6 +169,7 @@ def _id_counts(rows: DataFrame, vocab_size: int) -> dict[int, int]:
     """How often each id occurs: at most one row for each id of the vocabulary comes to the driver."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(FILES)
         seen = np.zeros(vocab_size, dtype=np.int64)
         for batch in batches:
             if batch.num_rows:
@@ -198,6 +202,7 @@ def write_files(docs: DataFrame, file: str, end_id: int, id_col: str = "doc_id",
     ranges = max(1, -(-sum(counts.values()) // RANGE_IDS))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(FILES)
         table, part = _table(shared.value, size), TaskContext.get().partitionId()
         out, done = [rans.MAGIC], 0
         ids: list[np.ndarray] = []
@@ -210,6 +215,7 @@ def write_files(docs: DataFrame, file: str, end_id: int, id_col: str = "doc_id",
             out.append(rans.encode_block(flat, docs_in, sizes, done, table))
             done += len(flat)
             ids, docs_in, sizes = [], [], []
+            give_back(CODING * len(flat))
 
         open_ids = 0
         for batch in batches:
@@ -232,7 +238,9 @@ def write_files(docs: DataFrame, file: str, end_id: int, id_col: str = "doc_id",
         if done:
             name = f"{part:08d}-{uuid.uuid4().hex}.rans"
             put_file(folder, name, b"".join(out))
+            out.clear()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int64()), pa.array([done], pa.int64())], names=["name", "part", "n"])
+        give_back()
 
     order = ("doc_id", "n", "hash", "place")
     dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "n", "ids")
@@ -256,6 +264,7 @@ def read_files(spark, files: TokenFiles) -> DataFrame:
     shared, size = spark.sparkContext.broadcast(files.counts), files.vocab_size
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(FILES)
         table = None
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -269,6 +278,8 @@ def read_files(spark, files: TokenFiles) -> DataFrame:
                     raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
                     crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(crc)), pa.array(b.doc_ids, pa.int64()), pa.array(starts + b.before, pa.int64()), pa.array(b.sizes, pa.int64()), pa.array(crc, pa.int64())], names=["name", "doc_id", "start", "n_tokens", "ids_crc32"])
+                    give_back(CODING * b.n)
+        give_back()
 
     decoded = binary_files(spark, files.folder, ".rans").mapInArrow(run, "name string, doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
     starts = written(_starts(files.files), "starts")

@@ -101,6 +101,42 @@ def test_copies_spread_over_token_files(spark, monkeypatch):
     assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
 
 
+def test_workers_of_token_files_give_their_memory_back(spark, monkeypatch):
+    """What the encoder took goes back when a task has encoded, and the stages that handle files drop the encoder."""
+
+    class Frame:
+        def __getattr__(self, name):
+            return lambda *args: self
+
+        def __iter__(self):
+            return iter(())
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    file, given, frames = vocab.path(queries.WORD_BPE), [], [Frame() for _ in range(4)]
+    for name in ("written", "small_side", "_starts"):
+        monkeypatch.setattr(token_files, name, lambda df, *rest: df)
+    monkeypatch.setattr(token_files, "text_batches", lambda spark: None)
+    token_files.encoded(frames[0], file, 2, "doc_id", "text")
+    token_files._id_counts(frames[1], 50_000)
+    monkeypatch.setattr(token_files, "binary_files", lambda *args: frames[2])
+    token_files.read_files(spark, token_files.TokenFiles("", 50_000, {5: 1}, frames[2]))
+    frames[3].sparkSession = spark
+    monkeypatch.setattr(token_files, "encoded", lambda *args: frames[3])
+    monkeypatch.setattr(token_files, "_id_counts", lambda *args: {5: 1})
+    token_files.write_files(frames[3], file, 2)
+    monkeypatch.setattr(token_files, "TaskContext", type("Context", (), {"get": lambda: type("Task", (), {"partitionId": lambda self: 0})()}))
+    monkeypatch.setattr(token_files, "give_back", lambda *args: given.append(args))
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array(["some words"])], names=["doc_id", "text_"])
+    for frame in frames[1:]:
+        assert len(list(frames[0].run(iter([batch])))) == 1
+        assert given[-1] == () and token_files._encoder.cache_info().currsize == 1
+        list(frame.run(iter(())))
+        assert token_files._encoder.cache_info().currsize == 0
+
+
 def test_batches_of_bytes_are_the_librarys(codec, library, monkeypatch):
     texts = random_texts(800, 11) + [t or "" for t in MESSY] + ["a b  c", " lead", "trail ", "x\u3000 y", "it's we'll \n\n z", "no-break\xa0 x", "\x0b \x0c", "tab\tword  "] * 3
     for generation, size in ((bpe.CACHE, 900), (40, 7)):
