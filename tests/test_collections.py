@@ -7,6 +7,7 @@ from nestloom.errors import QueryError
 from nestloom.operators import coverage
 from nestloom.plans.build import choice, field
 from nestloom.plans.text import parse
+from nestloom.sources import session
 from nestloom.sources.session import Session, attach, block, inside, keep
 
 
@@ -219,3 +220,47 @@ def test_scattered_scans_merge_and_go_on(spark):
             break
     assert got == want
     assert coverage.scatter_scan(df, "id", list(range(64)), 5, test=F.col("id") > 500).complete
+
+
+@pytest.fixture
+def chained(stored):
+    def rows(q):
+        """What run() gives token by token, as pages."""
+        out, after = [], None
+        while True:
+            page = stored.run(q, after=after)
+            out.append(page.rows.collect())
+            if (after := page.next) is None:
+                return out
+
+    return rows
+
+
+PAGED = ["from t where id >= 3 project id order by part desc, amount asc page size 40", "from t order by part asc limit 25 page size 10", "from t where id < 0 page size 5", "from t group by part project part, count() as n order by n desc page size 3", "from t where part < 3 enrich o using named matching name = name expect exactly_one where o.part != 2 project { id, o { part } } page size 20"]
+
+
+@pytest.mark.parametrize("q", PAGED)
+def test_pages_and_what_they_make_together(stored, chained, monkeypatch, q):
+    monkeypatch.setattr(session, "TOGETHER", 5)
+    want = chained(q)
+    pages = list(stored.pages(q))
+    assert [p.rows.collect() for p in pages] == want and [p.exhausted for p in pages] == [False] * (len(want) - 1) + [True]
+    together = stored.pages_together(q)
+    assert together.collect() == sum(want, []) and together.columns == pages[0].rows.columns
+    assert not stored._groups
+
+
+def test_work_and_plans_do_not_grow_with_pages(stored, monkeypatch):
+    sorts = []
+    monkeypatch.setattr(session, "ordered", lambda *a, f=session.ordered: sorts.append(1) or f(*a))
+    got = stored.pages_together("from t project id order by amount desc page size 2")
+    assert [r.id for r in got.collect()] == list(range(99, -1, -1))
+    assert len(sorts) == 2 and got._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
+def test_pages_of_a_changed_collection_are_refused(stored):
+    pages = stored.pages("from t order by amount desc page size 30")
+    next(pages), next(pages)
+    stored.collection("t").delete(stored.spark.createDataFrame([("1",)], "_key string"))
+    with pytest.raises(QueryError, match="rql_cursor_mismatch"):
+        next(pages)

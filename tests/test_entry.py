@@ -27,3 +27,14 @@ def test_against_sql(spark, name):
     names = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(names)
     assert sorted(map(repr, map(tuple, got.select(*names).collect()))) == sorted(map(repr, want.fetchall()))
+
+
+@pytest.mark.parametrize("name, table", [("pages_concatenated", "customer"), ("group_pages", "lineitem")])
+def test_pages_put_together_are_one_table(spark, name, table):
+    db = duckdb.connect()
+    sf = "/root/testdata/sf0.01"
+    db.execute(f"create view {table} as select * from '{sf}/{table}.parquet'")
+    got = entry.queries()[name](spark, sf)
+    want = db.execute(entry.oracle_sql()[name])
+    assert sorted(map(tuple, got.select(*[d[0] for d in want.description]).collect())) == sorted(want.fetchall())
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
